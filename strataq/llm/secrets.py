@@ -111,7 +111,7 @@ def brute_base(text: str | None) -> tuple[int, int, int, str]:
     text, spans = text or "", []
     for kind, pattern in enumerate((ASSIGN, ACCESS, HEX)):
         for m in pattern.finditer(text):
-            size, least = ((m.end(2) - m.start(2), 6), (len(m.group()), 20), (len(m.group()), 24))[kind]
+            size, least = ((len(m.group(min(2, m.re.groups))), 6), (len(m.group()), 20), (len(m.group()), 24))[kind]
             if size >= least:
                 spans.append((m.start(), kind, m.end()))
     spans.sort()
