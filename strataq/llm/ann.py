@@ -20,6 +20,7 @@ class Index:
     centres: np.ndarray
     sample: np.ndarray
     sample_ids: np.ndarray
+    sample_lists: np.ndarray
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -32,7 +33,7 @@ def fit(x: np.ndarray, ids: np.ndarray, lists: int, seed: int, rounds: int = 8)
     d = x.shape[1] if x.ndim == 2 and len(x) else 1
     rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
     if not len(x):
-        return Index(rotation, np.zeros((1, d)), np.zeros((0, d)), ids)
+        return Index(rotation, np.zeros((1, d)), np.zeros((0, d)), ids, ids)
     r = x @ rotation
     distinct = np.unique(r, axis=0)
     lists = max(1, min(lists, len(distinct)))
@@ -42,7 +43,7 @@ def fit(x: np.ndarray, ids: np.ndarray, lists: int, seed: int, rounds: int = 8)
         n = np.bincount(near, minlength=lists)
         sums = np.stack([np.bincount(near, r[:, j], lists) for j in range(d)], 1)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
-    return Index(rotation, centres, r, ids)
+    return Index(rotation, centres, r, ids, squares(r, centres).argmin(1))
 
 
 def adaptive_scan(q: np.ndarray, v: np.ndarray, bound: float, k: int, block: int, epsilon: float) -> np.ndarray:
@@ -73,7 +74,7 @@ def adaptive_scan(q: np.ndarray, v: np.ndarray, bound: float, k: int, block: int
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-           sample_rows: int = 8192, most_lists: int = 1024, probe_share: float = 0.15, least_probes: int = 8,
+           sample_rows: int = 8192, most_lists: int = 1024, probe_share: float = 0.65, least_probes: int = 8,
            block: int = 16, epsilon: float = 2.1, rows_per_block: int = 4096, queries_per_block: int = 1024,
            seed: int = 7) -> DataFrame:
     """The k nearest rows found for every query by Euclidean distance: query_id, rank (from 1), vec_id, score.
@@ -84,7 +85,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     Rotation and list centres are fitted on at most `sample_rows` vectors (smallest hash of the id), and every vector is
     indexed. A query probes its nearest lists, `least_probes` and `probe_share` of them at least, and more until they
-    hold more than k rows. Its k-th distance within the sample bounds the scan from the start. Lists are dealt in blocks
+    hold more than k rows. The k-th distance to sample rows in these lists bounds the scan from the start. Lists are dealt in blocks
     of `rows_per_block` rows by a hash of the id, and their queries in blocks too, so no list is ever one task's.
     """
     spark = vectors.sparkSession
@@ -131,9 +132,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         order_n = np.cumsum(counts[order], 1)
         take = np.maximum(probes, (order_n <= k).sum(1) + 1)
         bound = np.full(len(v), np.inf)
-        if len(index.value.sample) > k:
+        if len(index.value.sample) > k and len(v):
             s = squares(r, index.value.sample)
             s[at[:, None] == index.value.sample_ids[None, :]] = np.inf
+            probed = np.zeros((len(v), lists), bool)
+            np.put_along_axis(probed, order, np.arange(lists)[None, :] < take[:, None], 1)
+            s[~probed[:, index.value.sample_lists]] = np.inf
             bound = np.partition(s, k - 1, axis=1)[:, k - 1] * (1 + 1e-6) + 1e-9
         who = np.repeat(np.arange(len(v)), np.minimum(take, lists))
         lists_of = np.concatenate([o[:m] for o, m in zip(order, take)]) if len(v) else np.zeros(0, int)
