@@ -74,7 +74,7 @@ def adaptive_scan(q: np.ndarray, v: np.ndarray, bound: float, k: int, block: int
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-           sample_rows: int = 8192, most_lists: int = 1024, probe_share: float = 0.65, least_probes: int = 8,
+           sample_rows: int = 8192, most_lists: int = 1024, probe_share: float = 0.65, least_probes: int = 32,
            block: int = 16, epsilon: float = 2.1, rows_per_block: int = 4096, queries_per_block: int = 1024,
            seed: int = 7) -> DataFrame:
     """The k nearest rows found for every query by Euclidean distance: query_id, rank (from 1), vec_id, score.

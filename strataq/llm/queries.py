@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, html_text, lang_id, line_dedup, packing, quality, secrets
+from . import ann, decontaminate, html_text, jaccard, lang_id, line_dedup, packing, quality, secrets
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(found)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,7 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_adaptive_scan, op2_html_extraction, op3_line_dedup, op4_decontaminate, op6_quality, op7_language_id,
-        op8_secret_scan, op10_best_fit_packing)}
+        op8_secret_scan, op9_jaccard_join, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
