@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, html_text, jaccard, lang_id, line_dedup, packing, quality, secrets
+from . import ann, decontaminate, html_text, jaccard, lang_id, line_dedup, packing, quality, secrets, suffix_dedup
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +55,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_adaptive_scan, op2_html_extraction, op3_line_dedup, op4_decontaminate, op6_quality, op7_language_id,
+        op1_adaptive_scan, op2_html_extraction, op3_line_dedup, op4_decontaminate, op5_suffix_dedup, op6_quality, op7_language_id,
         op8_secret_scan, op9_jaccard_join, op10_best_fit_packing)}
 
 
