@@ -79,7 +79,7 @@ def read_journal(spark: SparkSession, path: str, line_number: Column | None = No
 
     Lines are numbered within each file by their byte order, which whole-file reading keeps.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    files = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
     rows = files.where(F.trim("text") != "").withColumn("_ok", F.try_parse_json("text").isNotNull())
     last = rows.agg(F.max("line")).first()[0]
     if rows.where(~F.col("_ok") & (F.col("line") < last)).limit(1).count():
