@@ -65,99 +65,102 @@ def frequent(docs: DataFrame, sample_one_in: int, least: int, most: int) -> tupl
 
 
 def signatures(docs: DataFrame, heavy: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """id, n (set size), digest of the set, tokens (its prefix) and n_cool (tokens before the hot ones)."""
+    """id, n (set size), digest of the set, tokens (its prefix), n_cool (tokens before the hot ones) and share (of
+    frequent tokens in the set, in thousandths)."""
     known = docs.sparkSession.sparkContext.broadcast((heavy, hot))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         heavy, hot = known.value
-        sizes, digests, tokens, cool = [], [], [], []
+        sizes, digests, tokens, cool, share = [], [], [], [], []
         for s in shingle_sets(column(batch, "text").to_pylist()):
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
             if not len(s):
                 tokens.append(s.view(np.int64))
                 cool.append(0)
+                share.append(0)
                 continue
             late = held_in(s, heavy)
             late_hot = late & held_in(s, hot)
             order = np.concatenate([s[~late], s[late & ~late_hot], s[late_hot]])[:prefix_size(len(s))]
             tokens.append(order.view(np.int64))
             cool.append(min(len(order), int((~late_hot).sum())))
+            share.append(1000 * int(late.sum()) // len(s))
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])))
         return pa.RecordBatch.from_arrays(
-            [column(batch, "id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(cool, pa.int32())],
-            ["id", "n", "digest", "tokens", "n_cool"])
+            [column(batch, "id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(cool, pa.int32()),
+             pa.array(share, pa.int32())], ["id", "n", "digest", "tokens", "n_cool", "share"])
 
     key = docs.schema["id"].dataType.simpleString()
-    return map_arrow(docs, run, f"id {key}, n long, digest binary, tokens array<long>, n_cool int")
+    return map_arrow(docs, run, f"id {key}, n long, digest binary, tokens array<long>, n_cool int, share int")
 
 
-def list_pairs(tok: np.ndarray, n: np.ndarray, rep: np.ndarray, pos: np.ndarray, short: int):
-    """Candidate pairs of whole index lists, sorted by (tok, n, rep), and which rows belong to long lists.
+def list_pairs(tok: np.ndarray, n: np.ndarray, rep: np.ndarray, pos: np.ndarray, share: np.ndarray, short: int):
+    """Candidate pairs of whole index lists, sorted by (tok, n, rep), and (set, centre) for the rows of long lists.
 
     A list is skipped in blocks: entries are in order of set size, so the partners of a set end where sizes get too
     large, and a pair is passed over where the positions leave too few elements to share. Lists of up to `short` sets
-    give all their pairs. A longer list gives for each set the one with the smallest size that fits; the rest of its
-    pairs are decided later, by components.
+    give all their pairs. A longer list gives each set with the list's centre: the set with the largest share of frequent
+    tokens, which has the least of its own. What else links in it is decided by centre, in open_groups.
     """
     start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
     size = np.diff(np.r_[start, len(tok)])
     of = np.repeat(np.arange(len(start)), size)
-    long_ = (size > short)[of]
     one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    left = np.flatnonzero((size > 1)[of] & ~long_)
+    left = np.flatnonzero(((size > 1) & (size <= short))[of])
     for step in range(1, int(size[size <= short].max(initial=1))):
         left = left[left + step < len(tok)]
         left = left[of[left] == of[np.minimum(left + step, len(tok) - 1)]]
         left = left[5 * n[left] >= 4 * n[left + step]]
         one.append(left)
         two.append(left + step)
-    for k in np.flatnonzero(size > short):
-        a, b = start[k], start[k] + size[k]
-        first = a + np.searchsorted(5 * n[a:b], 4 * n[a:b])
-        rest = np.arange(a, b)
-        two.append(rest[first < rest])
-        one.append(first[first < rest])
     a, b = np.concatenate(one), np.concatenate(two)
-    fits = 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= needed(n[a], n[b])
-    return rep[a[fits]], rep[b[fits]], long_
+    fits = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= needed(n[a], n[b])
+    member, centre = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.flatnonzero(size > short):
+        rows = np.arange(start[k], start[k] + size[k])
+        best = rows[np.lexsort((rep[rows], -share[rows]))[0]]
+        member.append(rep[rows])
+        centre.append(np.full(len(rows), rep[best]))
+    return rep[a[fits]], rep[b[fits]], np.concatenate(member), np.concatenate(centre)
 
 
 def candidates(index: DataFrame, short: int) -> DataFrame:
-    """From index rows (tok, salt, n, rep, pos): pairs (a, b, tok null), and the rows of long lists as (a = rep, tok, n, pos)."""
+    """From index rows (tok, n, rep, pos, share): (a, b, of_centre), where a is a centre if of_centre."""
     ship_package(index.sparkSession)
+    names = ("tok", "n", "rep", "pos", "share")
 
-    def emit(tok, salt, n, rep, pos) -> pa.RecordBatch | None:
-        a, b, long_ = list_pairs(tok, n, rep, pos, short)
-        if len(a):
-            both = np.unique(np.stack([a, b], 1), axis=0)
-            a, b = both[:, 0], both[:, 1]
-        # A salted list may go on in another task, so its rows are kept whatever its length here.
-        keep = np.flatnonzero(long_ | (salt >= 0))
-        nulls = np.concatenate([np.ones(len(a), bool), np.zeros(len(keep), bool)])
-        pad = lambda x: np.concatenate([np.zeros(len(a), np.int64), x[keep]])
-        if not len(nulls):
+    def emit(cols: list[np.ndarray]) -> pa.RecordBatch | None:
+        a, b, member, centre = list_pairs(*cols, short)
+        rows = np.concatenate([np.stack([a, b, np.zeros_like(a)], 1), np.stack([centre, member, np.ones_like(member)], 1)])
+        if not len(rows):
             return None
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([a, rep[keep]])), pa.array(np.concatenate([b, np.zeros(len(keep), np.int64)]), mask=~nulls),
-             pa.array(pad(tok), mask=nulls), pa.array(pad(n), mask=nulls), pa.array(pad(pos), mask=nulls)],
-            ["a", "b", "tok", "n", "pos"])
+        rows = np.unique(rows, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] > 0)], ["a", "b", "of_centre"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("tok", "salt", "n", "rep", "pos")
         held = [np.zeros(0, np.int64) for _ in names]
         for batch in batches:
             cols = [np.concatenate([h, column(batch, c).to_numpy()]) for h, c in zip(held, names)]
             key = cols[0]
-            last = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cols[1][1:] != cols[1][:-1])])[-1] if len(key) else 0
-            if last and (out := emit(*(c[:last] for c in cols))) is not None:
+            last = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1] if len(key) else 0
+            if last and (out := emit([c[:last] for c in cols])) is not None:
                 yield out
             held = [c[last:] for c in cols]
-        if len(held[0]) and (out := emit(*held)) is not None:
+        if len(held[0]) and (out := emit(held)) is not None:
             yield out
 
-    return index.mapInArrow(run, "a long, b long, tok long, n long, pos long")
+    return index.mapInArrow(run, "a long, b long, of_centre boolean")
+
+
+def hot_candidates(index: DataFrame) -> DataFrame:
+    """The same for lists of hot tokens, which no task takes whole: their centres are found by partial maxima."""
+    best = index.groupBy("tok").agg(F.max(F.struct("share", (-F.col("rep")).alias("least"))).alias("best"))
+    best = cut(best.select("tok", (-F.col("best.least")).alias("centre")))
+    small = best.count() <= BROADCAST_ROWS
+    rows = index.select("tok", "rep").join(F.broadcast(best) if small else best, "tok")
+    return rows.select(F.col("centre").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("of_centre")).distinct()
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, per_task: int = 256) -> DataFrame:
@@ -227,51 +230,92 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def crossing(long_rows: DataFrame, labels: DataFrame, found: DataFrame, block: int = 2048) -> DataFrame:
-    """Pairs of different components that long lists leave open, each set's answers bounded by those of a similar set.
+def open_groups(docs: DataFrame, members: DataFrame, labels: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """Links that long lists leave open: edges (a, b), no more of them than join components.
 
-    If x and y were both compared with c, they share at most min(x & c, y & c) + min(x - c, y - c) elements; a pair that
-    falls short is skipped without a look at the sets. Lists are cut into blocks, and blocks are dealt in pairs.
+    members holds (centre, rep); two sets of one long list have its centre in common. Only sets that are not in the
+    centre's component are looked up, among all sets of that centre, and links are found from postings of whole sets. A
+    set is skipped if the answers of the centre rule its links out: x and y share at most
+    min(x & c, y & c) + min(x - c, y - c) elements. Large groups are cut into blocks, which are dealt in pairs.
     """
-    rows = long_rows.select("tok", F.col("a").alias("rep"), "n", "pos")
     lab = labels.select(F.col("node").alias("rep"), "label")
-    rows = rows.join(lab, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = rows.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-    mixed = mixed.where("low <> high").select("tok", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    answers = found.select(F.col("b").alias("rep"), F.col("a").alias("centre"), "shared").unionByName(
-        found.select(F.col("a").alias("rep"), F.col("a").alias("centre"), F.col("n_a").alias("shared")))
-    answers = answers.groupBy("rep").agg(F.max_by(F.struct("centre", "shared"), F.struct("shared", "centre")).alias("c"))
-    rows = rows.join(mixed, "tok").join(answers, "rep", "left")
+    rows = members.join(lab, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    own = labels.select(F.col("node").alias("centre"), F.col("label").alias("own"))
+    rows = rows.join(own, "centre", "left").withColumn("own", F.coalesce("own", "centre"))
+    known = found.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "shared")
+    rows = rows.join(known, ["centre", "rep"], "left").withColumn("outside", F.col("label") != F.col("own"))
+    rows = cut(rows.select("centre", "rep", "label", "outside", F.coalesce("shared", F.lit(-1)).cast("long").alias("shared")))
+    size = rows.groupBy("centre").agg(F.bool_or("outside").alias("open"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = rows.join(size.where("open").select("centre", "blocks"), "centre")
     rows = rows.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tok", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "rep", "n", "pos",
-                       "label", F.coalesce("c.centre", F.lit(-1)).cast("long").alias("centre"),
-                       F.coalesce("c.shared", F.lit(0)).cast("long").alias("shared"))
+    tasks = cut(rows.groupBy("rep").agg(F.collect_list(F.struct("centre", "label", "outside", "shared", "at", "blocks")).alias("todo")))
+    small = tasks.count() <= BROADCAST_ROWS
+    tasks = tasks.withColumnRenamed("rep", "id")
+    texts = docs.join(F.broadcast(tasks) if small else tasks, "id").select("id", "text", "todo")
+
+    def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for i, s, todo in zip(column(batch, "id").to_pylist(), shingle_sets(column(batch, "text").to_pylist()), column(batch, "todo").to_pylist()):
+            for t in todo:
+                for other in range(t["blocks"]):
+                    out.append((t["centre"], min(t["at"], other), max(t["at"], other), t["at"], i, t["label"], t["outside"], t["shared"], s.tobytes()))
+        for k in range(0, len(out), 512):
+            cols = list(zip(*out[k:k + 512]))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)],
+                                             ["centre", "i", "j", "at", "rep", "label", "outside", "shared", "set"])
+
+    fields = "centre long, i int, j int, at int, rep long, label long, outside boolean, shared long, set binary"
+    dealt = map_arrow(texts, sets, fields, rows=128)
 
     def run(t: pa.Table) -> pa.Table:
-        c = {x: t.column(x).to_numpy() for x in t.column_names}
-        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        same_block = c["i"][0] == c["j"][0] if t.num_rows else False
-        left = np.flatnonzero(c["at"] == c["i"]) if t.num_rows else []
-        right = np.flatnonzero(c["at"] == c["j"]) if t.num_rows else []
-        for x in left:
-            y = right[(c["label"][right] != c["label"][x]) & ((right > x) | (not same_block))]
-            n, m = c["n"][x], c["n"][y]
-            least = needed(n, m)
-            fits = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.minimum(n - c["pos"][x], m - c["pos"][y]) >= least)
-            bound = np.minimum(c["shared"][x], c["shared"][y]) + np.minimum(n - c["shared"][x], m - c["shared"][y])
-            fits &= (c["centre"][x] != c["centre"][y]) | (c["centre"][x] < 0) | (bound >= least)
-            y = y[fits]
-            one.append(np.minimum(c["rep"][x], c["rep"][y]))
-            two.append(np.maximum(c["rep"][x], c["rep"][y]))
-        pairs = np.unique(np.stack([np.concatenate(one), np.concatenate(two)], 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return rows.groupBy("tok", "i", "j").applyInArrow(run, "a long, b long")
+        t = t.sort_by("rep")
+        rep, label, outside, shared = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "outside", "shared"))
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+        edges = group_links(raw, rep, label, outside, shared)
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return dealt.groupBy("centre", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def group_links(sets: list[np.ndarray], rep: np.ndarray, label: np.ndarray, outside: np.ndarray, shared: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join the components of linked sets, for every link of an outside set; each joins two components."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    edges = []
+    for x in np.flatnonzero(outside):
+        least = needed(n[x], n)
+        fits = (5 * np.minimum(n[x], n) >= 4 * np.maximum(n[x], n)) & (label != label[x])
+        if shared[x] >= 0:
+            bound = np.minimum(shared[x], shared) + np.minimum(n[x] - shared[x], n - shared)
+            fits &= (shared < 0) | (bound >= least)
+        if not fits.any():
+            continue
+        low, high = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+        size = high - low
+        at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        count = np.bincount(owner[at], minlength=len(sets))
+        for y in np.flatnonzero(fits & (count >= least)).tolist():
+            a, b = root(int(label[x])), root(int(label[y]))
+            if a != b:
+                parent[a] = b
+                edges.append((int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))))
+    return edges
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_one_in: int = 4, least: int = 3,
-                   most_frequent: int = 1_000_000, short: int = 32) -> DataFrame:
+                   most_frequent: int = 1_000_000, short: int = 32, block: int = 4096) -> DataFrame:
     """id_col, n_shingles and component_id: the smallest id that links of Jaccard similarity 0.8 and more reach.
 
     Sets are all distinct 5-word shingles of the whole text, as 64-bit hashes. Equal sets are taken together first, and
@@ -279,29 +323,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own; a row with a null id takes its component from others or has none; repeated rows share a component; an empty
     table gives an empty result; other columns are not read. Ids are whole numbers.
 
-    Every pair of linked sets of different content meets in a list of their prefixes (see prefix_size), and it is
-    compared, or known to be in one component, or ruled out by a bound: no pair is dropped for the size of a list.
+    Every pair of linked sets of different content meets in a list of their prefixes (see prefix_size). In a short list
+    all pairs are compared. In a long one each set is compared with the list's centre, and those that don't end up in its
+    component are looked up among all sets of that centre: no link is lost to the size of a list.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     heavy, hot = frequent(picked, sample_one_in, least, most_frequent)
     signed = cut(signatures(picked, heavy, hot))
     some = signed.where("n > 0")
-    reps = some.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"),
-                                      F.first("n_cool").alias("n_cool"))
-    index = reps.where("rep IS NOT NULL").select("rep", "n", "n_cool", F.posexplode("tokens").alias("pos", "tok"))
-    parts = parallelism(docs.sparkSession)
-    salt = F.when(F.col("pos") >= F.col("n_cool"), F.pmod(F.xxhash64("rep", "tok"), F.lit(parts))).otherwise(-1)
-    index = index.select("tok", salt.cast("long").alias("salt"), "n", "rep", F.col("pos").cast("long").alias("pos"))
-    index = index.repartition(parts, "tok", "salt").sortWithinPartitions("tok", "salt", "n", "rep")
-    made = cut(candidates(index, short))
-    first = overlaps(picked, made.where("tok IS NULL"))
+    reps = some.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "tokens", "n_cool", "share")))
+    index = reps.where("rep IS NOT NULL").select("rep", "n", "n_cool", F.col("share").cast("long").alias("share"), F.posexplode("tokens").alias("pos", "tok"))
+    lists = index.where("pos < n_cool").select("tok", "n", "rep", F.col("pos").cast("long").alias("pos"), "share")
+    lists = lists.repartition(parallelism(docs.sparkSession), "tok").sortWithinPartitions("tok", "n", "rep")
+    made = candidates(lists, short)
+    if len(hot):
+        made = made.unionByName(hot_candidates(index.where("pos >= n_cool")))
+    made = cut(made)
+    first = overlaps(picked, made.where("a <> b").select("a", "b"))
     edges = links(first)
     labels = components(edges)
-    open_ = crossing(made.where("tok IS NOT NULL"), labels, first)
-    open_ = cut(open_.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    if open_.limit(1).count():
-        edges = edges.unionByName(links(overlaps(picked, open_)))
-        labels = components(edges)
+    members = made.where("of_centre").select(F.col("a").alias("centre"), F.col("b").alias("rep")).distinct()
+    more = cut(open_groups(picked, members, labels, first, block))
+    if more.limit(1).count():
+        labels = components(edges.unionByName(more))
     names = cut(some.groupBy("digest").agg(F.min("id").alias("rep"))).join(
         labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     return signed.select("id", "n", "digest").join(names, "digest", "left").select(
