@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import sys
 import tempfile
@@ -21,8 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold no more than BATCH_ROWS rows and about BATCH_BYTES bytes: texts may be long."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable by Python workers that were not started next to it."""
+    bound_batches(spark)
     places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     app = spark.sparkContext.applicationId
     if app in _SHIPPED or any(p and os.path.realpath(p) == str(ROOT) for p in places):
@@ -35,6 +50,28 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def release_memory() -> None:
+    """Give freed memory back: Python workers are reused, and what one stage holds on to is missed in the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has no such call
+
+
+def trimmed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """fn over the batches of a partition, with its memory released at the end."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None],
               schema: str, rows: int = 512) -> DataFrame:
     """Apply fn to slices of at most `rows` rows, so a worker holds one slice and its results at a time."""
@@ -51,7 +88,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                 else:
                     yield from out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

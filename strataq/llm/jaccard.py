@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, map_arrow, parallelism, ship_package
+from .common import column, cut, map_arrow, parallelism, ship_package, trimmed
 from .shingles import shingle_sets
 
 # Rows up to which a table of fixed-width rows is broadcast; beyond, the same join shuffles.
@@ -151,7 +151,7 @@ def candidates(index: DataFrame, short: int) -> DataFrame:
         if len(held[0]) and (out := emit(held)) is not None:
             yield out
 
-    return index.mapInArrow(run, "a long, b long, of_centre boolean")
+    return index.mapInArrow(trimmed(run), "a long, b long, of_centre boolean")
 
 
 def hot_candidates(index: DataFrame) -> DataFrame:
@@ -163,6 +163,29 @@ def hot_candidates(index: DataFrame) -> DataFrame:
     return rows.select(F.col("centre").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("of_centre")).distinct()
 
 
+def sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list]]:
+    """id, set and todo of each row, a few texts at a time."""
+    for at in range(0, batch.num_rows, 16):
+        part = batch.slice(at, 16)
+        found = shingle_sets(column(part, "text").to_pylist())
+        for i, s, todo in zip(column(part, "id").to_pylist(), found, column(part, "todo").to_pylist()):
+            yield i, s.tobytes(), todo
+
+
+def in_lots(rows: Iterator[tuple], names: list[str], kinds: tuple[pa.DataType, ...], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Record batches of rows that end with bytes, each of about `most` bytes."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) + 64
+        if size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+
+
 def overlaps(docs: DataFrame, pairs: DataFrame, per_task: int = 256) -> DataFrame:
     """(a, b, shared, n_a, n_b) of pairs of document ids: exact intersections of their whole sets.
 
@@ -178,14 +201,9 @@ def overlaps(docs: DataFrame, pairs: DataFrame, per_task: int = 256) -> DataFram
     texts = docs.join(F.broadcast(tasks) if small else tasks, "id").select("id", "text", "todo")
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = shingle_sets(column(batch, "text").to_pylist())
-        rows = [(t["a"], t["lot"], int(t["a"] != i), i, s.tobytes())
-                for i, s, todo in zip(column(batch, "id").to_pylist(), found, column(batch, "todo").to_pylist()) for t in todo]
-        for at in range(0, len(rows), 512):
-            a, lot, role, i, s = zip(*rows[at:at + 512])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(lot, pa.int32()), pa.array(role, pa.int32()), pa.array(i, pa.int64()),
-                 pa.array(s, pa.binary())], ["a", "lot", "role", "b", "set"])
+        rows = ((t["a"], t["lot"], int(t["a"] != i), i, s) for i, s, todo in sets_of(batch) for t in todo)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        yield from in_lots(rows, ["a", "lot", "role", "b", "set"], kinds)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, one = None, np.zeros(0, np.uint64)
@@ -204,7 +222,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, per_task: int = 256) -> DataFram
 
     rows = map_arrow(texts, sets, "a long, lot int, role int, b long, set binary", rows=128)
     rows = rows.repartition(parallelism(docs.sparkSession), "a", "lot").sortWithinPartitions("a", "lot", "role")
-    return cut(rows.mapInArrow(meet, "a long, b long, shared long, n_a long, n_b long"))
+    return cut(rows.mapInArrow(trimmed(meet), "a long, b long, shared long, n_a long, n_b long"))
 
 
 def links(found: DataFrame) -> DataFrame:
@@ -254,16 +272,10 @@ def open_groups(docs: DataFrame, members: DataFrame, labels: DataFrame, found: D
     texts = docs.join(F.broadcast(tasks) if small else tasks, "id").select("id", "text", "todo")
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out = []
-        for i, s, todo in zip(column(batch, "id").to_pylist(), shingle_sets(column(batch, "text").to_pylist()), column(batch, "todo").to_pylist()):
-            for t in todo:
-                for other in range(t["blocks"]):
-                    out.append((t["centre"], min(t["at"], other), max(t["at"], other), t["at"], i, t["label"], t["outside"], t["shared"], s.tobytes()))
-        for k in range(0, len(out), 512):
-            cols = list(zip(*out[k:k + 512]))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)],
-                                             ["centre", "i", "j", "at", "rep", "label", "outside", "shared", "set"])
+        rows = ((t["centre"], min(t["at"], other), max(t["at"], other), t["at"], i, t["label"], t["outside"], t["shared"], s)
+                for i, s, todo in sets_of(batch) for t in todo for other in range(t["blocks"]))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+        yield from in_lots(rows, ["centre", "i", "j", "at", "rep", "label", "outside", "shared", "set"], kinds)
 
     fields = "centre long, i int, j int, at int, rep long, label long, outside boolean, shared long, set binary"
     dealt = map_arrow(texts, sets, fields, rows=128)

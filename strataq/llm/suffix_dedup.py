@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, map_arrow, parallelism, ship_package
+from .common import column, cut, map_arrow, parallelism, ship_package, trimmed
 
 # A perfect difference set: every difference modulo 31 is that of two of its members.
 PERIOD = 31
@@ -285,8 +285,8 @@ def sorted_spans(rows: DataFrame, names: DataFrame, many: int, length: int, gram
     def fetch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         s = Segments(encoded(batch), length, gram)
         keep = among(s.name, known)
-        for at in range(0, len(keep), 4096):
-            part = keep[at:at + 4096]
+        for at in range(0, len(keep), 1024):
+            part = keep[at:at + 1024]
             texts = [s.text(r) for r in part.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(s.name[part]), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
@@ -319,7 +319,7 @@ def sorted_spans(rows: DataFrame, names: DataFrame, many: int, length: int, gram
         if held:
             yield solve(held)
 
-    return dealt.sortWithinPartitions("name").mapInArrow(run, "row long, start long, end long")
+    return dealt.sortWithinPartitions("name").mapInArrow(trimmed(run), "row long, start long, end long")
 
 
 def hot_spans(rows: DataFrame, names: DataFrame, many: int, length: int, gram: int, slice_rows: int) -> DataFrame:
