@@ -17,6 +17,7 @@ BOILER = frozenset("nav header footer aside form menu dialog button fieldset dat
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr nobr img input".split())
+CONTAINERS = frozenset("html body div section article main table td th center blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notices|alert|"
@@ -25,6 +26,8 @@ MARKS = re.compile(
     r"pagination|pager|toolbar|skip-?link|login|signup|search-?form)(?=$|[\s_-])", re.I)
 ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|menu|alert|dialog)\b", re.I)
 NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# A wrapper that says what the page has around it is not that thing.
+STATES = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|show|hide)[-_]\S+", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
@@ -39,24 +42,26 @@ def is_boiler(tag: str, attrs: str) -> bool:
         return False
     if ROLES.search(attrs) or HIDDEN.search(attrs):
         return True
-    return tag not in INLINE and any(MARKS.search(a or b or c) for a, b, c in NAMES.findall(attrs))
+    return tag not in INLINE and any(MARKS.search(STATES.sub(" ", a or b or c)) for a, b, c in NAMES.findall(attrs))
 
 
-def lines_of(page: str, gap: int) -> list[tuple[str, bool, int]]:
-    """The page without markup as (text, inside article or main, characters in links), one block a line.
+def lines_of(page: str, gap: int) -> list[tuple[str, bool, int, int, int]]:
+    """The page without markup as (text, inside article or main, characters in links, depth, least depth since the line
+    before), one block a line; depth counts open containers.
 
     What boilerplate elements hold is left out, and `gap` blank lines stand in its place.
     """
-    lines: list[tuple[str, bool, int]] = []
+    lines: list[tuple[str, bool, int, int, int]] = []
     parts: list[str] = []
     article = links = linked = 0
-    skip, depth, at = "", 0, 0
+    skip, depth, at, level, least = "", 0, 0, 0, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, least
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append((text, article > 0, linked))
+            lines.append((text, article > 0, linked, level, least))
+            least = level
         parts.clear()
         linked = 0
 
@@ -87,7 +92,7 @@ def lines_of(page: str, gap: int) -> list[tuple[str, bool, int]]:
             continue
         if not end and tag not in VOID and is_boiler(tag, m["attrs"] or ""):
             flush()
-            lines.extend([("", False, 0)] * gap)
+            lines.extend([("", False, 0, level, level)] * gap)
             if tag not in last:
                 last[tag] = max((x.start() for x in re.finditer(rf"</{re.escape(tag)}(?![\w:-])", page, re.I)), default=-1)
             if last[tag] >= at and not (m["attrs"] or "").rstrip().endswith("/"):
@@ -99,6 +104,9 @@ def lines_of(page: str, gap: int) -> list[tuple[str, bool, int]]:
             put(" ")
         elif tag not in INLINE:
             flush()
+            if tag in CONTAINERS:
+                level += -1 if end else 1
+                least = min(least, level)
             if tag in ("article", "main"):
                 article = max(0, article + (-1 if end else 1))
     put(page[at:])
@@ -111,17 +119,18 @@ def extract_main(page: str | None, window: int = 3, surge: int = 80, gap: int =
 
     Line blocks are windows of `window` lines; their text lengths are summed. A run of lines begins where the sum rises
     from zero and ends where it dives to zero again; boilerplate elements leave `gap` blank lines, so that it does. Runs
-    whose highest sum reaches `surge` are kept, or else the run with the most text. Lines that are mostly links count
+    whose highest sum reaches `surge` are kept, or else the run with the most text; and runs beside a kept one that its
+    container holds too, as where a box stands between paragraphs. Lines that are mostly links count
     nothing where no article or main element marks the text.
     """
     if not page:
         return ""
     lines = lines_of(page, max(gap, window))
-    if any(inside and text for text, inside, _ in lines):
-        texts = [t if inside else "" for t, inside, _ in lines]
+    if any(x[1] and x[0] for x in lines):
+        texts = [x[0] if x[1] else "" for x in lines]
         surge = 0
     else:
-        texts = ["" if t and n > links * len(t) else t for t, _, n in lines]
+        texts = ["" if x[0] and x[2] > links * len(x[0]) else x[0] for x in lines]
     sizes = [len(t) for t in texts]
     n = len(sizes)
     total, sums = 0, []
@@ -135,8 +144,18 @@ def extract_main(page: str | None, window: int = 3, surge: int = 80, gap: int =
         elif not s and start is not None:
             runs.append((max(sums[start:i]), sum(sizes[start:i]), start, min(i, n)))
             start = None
-    kept = [r for r in runs if r[0] >= surge] or sorted(runs, key=lambda r: (-r[1], r[2]))[:1]
-    return "\n".join(t for _, _, a, b in kept for t in texts[a:b] if t)
+    strong = {i for i, r in enumerate(runs) if r[0] >= surge} or set(sorted(range(len(runs)), key=lambda i: (-runs[i][1], i))[:1])
+    keep = set(strong)
+    filled = [[k for k in range(a, b) if sizes[k]] for _, _, a, b in runs]
+    for i in range(1, len(runs)):  # the container of a kept run is still open
+        here = filled[i - 1][-1]
+        if i - 1 in keep and min(x[4] for x in lines[here + 1:filled[i][0] + 1]) >= lines[here][3]:
+            keep.add(i)
+    for i in range(len(runs) - 2, -1, -1):
+        here, ahead = filled[i][-1], filled[i + 1][0]
+        if i + 1 in keep and min([lines[here][3], *(x[4] for x in lines[here + 1:ahead + 1])]) >= lines[ahead][3]:
+            keep.add(i)
+    return "\n".join(t for i in sorted(keep) for t in texts[runs[i][2]:runs[i][3]] if t)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

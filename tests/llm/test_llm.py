@@ -82,6 +82,12 @@ def test_html_without_article_uses_line_blocks():
     assert html_text.extract_main(p) == ("long text " * 20).strip() + "\nshort"
 
 
+def test_html_wrappers_and_nesting():
+    p = '<body class="sidebar-page"><div class="page has-sidebar no-ads"><div class="post"><h2>T</h2><p>' + "body text " * 12 + '</p><div class="share-buttons"><p>Share</p></div><p>end</p></div>'
+    p += '<div class="side-bar"><div><div>x</div></div><p>links</p></div></div></body>'
+    assert html_text.extract_main(p) == "T\n" + ("body text " * 12).strip() + "\nend"
+
+
 def test_html_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "plain & simple"), (4, None, "<p>unclosed <nav>x"), (4, None, "<p>unclosed <nav>x"), (5, "u", "<" * 2000), (6, "u", "<div>" * 3000 + "deep")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("id", F.lit("clash")).withColumn("text", F.lit("clash"))
