@@ -188,14 +188,15 @@ def fit(texts: list[str], langs: list[str], path: str, rounds: int = 4, prior: f
 
 def sample_by_language(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held: int, most: int):
     """At most `most` labelled documents of each language, by hash of the id, and at most 64 languages."""
-    fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.withColumn("fold", F.pmod(F.crc32(F.col("id").cast("string")), F.lit(folds)))
     rows = rows.where((F.coalesce("fold", F.lit(-1)) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    names = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64)
+    # Hashes are even, so the smallest `most` are among those below four times their share: a sort of a bounded table.
+    ids = rows.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(1 << 32)).alias("mix")).join(F.broadcast(names), "lang")
+    ids = ids.where(F.col("mix").cast("double") * F.col("n") < F.lit(4.0 * most * (1 << 32)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mix", "id"))
-    ids = rows.select("id", "lang", F.xxhash64("id").alias("mix")).withColumn("rank", rank).where(F.col("rank") <= most)
-    names = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64)
-    ids = ids.join(F.broadcast(names), "lang", "left_semi").select("id", "lang").distinct()
+    ids = ids.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "lang").distinct()
     return rows.select("id", "text", "lang").join(F.broadcast(ids), ["id", "lang"], "left_semi")
 
 
