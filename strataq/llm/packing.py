@@ -21,7 +21,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 SIMPLE = regex.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xffĀ-įı-ž]+")
 PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 LONGEST = 32
-WORDS_KEPT = 250_000
+WORDS_KEPT = 400_000
 
 
 class WordTokenizer:
@@ -130,6 +130,7 @@ class WordTokenizer:
         need: set[str] = set()
         for w in words:
             low = w.lower()
+            low = w if low == w else low  # one string, not two equal ones
             if w.isascii() or (SIMPLE.fullmatch(w) and len(w) <= 200):
                 if low.isalpha():
                     single.append((w, low))
