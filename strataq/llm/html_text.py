@@ -49,7 +49,8 @@ def lines_of(page: str, gap: int) -> list[tuple[str, bool, int, int, int]]:
     """The page without markup as (text, inside article or main, characters in links, depth, least depth since the line
     before), one block a line; depth counts open containers.
 
-    What boilerplate elements hold is left out, and `gap` blank lines stand in its place.
+    What boilerplate elements hold is left out, and `gap` blank lines stand in its place and where an outermost
+    article or main element begins and ends.
     """
     lines: list[tuple[str, bool, int, int, int]] = []
     parts: list[str] = []
@@ -108,30 +109,30 @@ def lines_of(page: str, gap: int) -> list[tuple[str, bool, int, int, int]]:
                 level += -1 if end else 1
                 least = min(least, level)
             if tag in ("article", "main"):
+                if article == end:  # the outermost begins or ends
+                    lines.extend([("", False, 0, level, level)] * gap)
                 article = max(0, article + (-1 if end else 1))
     put(page[at:])
     flush()
     return lines
 
 
-def extract_main(page: str | None, window: int = 3, surge: int = 80, gap: int = 3, links: float = 0.6) -> str:
+def extract_main(page: str | None, window: int = 3, surge: int = 80, gap: int = 3, links: float = 0.6,
+                 weight: int = 4) -> str:
     """Main text of one page.
 
     Line blocks are windows of `window` lines; their text lengths are summed. A run of lines begins where the sum rises
     from zero and ends where it dives to zero again; boilerplate elements leave `gap` blank lines, so that it does. Runs
     whose highest sum reaches `surge` are kept, or else the run with the most text; and runs beside a kept one that its
-    container holds too, as where a box stands between paragraphs. Lines that are mostly links count
-    nothing where no article or main element marks the text.
+    container holds too, as where a box stands between paragraphs. Characters inside an article or main element count
+    `weight` times, and blank lines stand around it, so that runs inside and outside are judged on their own. Lines
+    outside that are mostly links count nothing.
     """
     if not page:
         return ""
     lines = lines_of(page, max(gap, window))
-    if any(x[1] and x[0] for x in lines):
-        texts = [x[0] if x[1] else "" for x in lines]
-        surge = 0
-    else:
-        texts = ["" if x[0] and x[2] > links * len(x[0]) else x[0] for x in lines]
-    sizes = [len(t) for t in texts]
+    texts = ["" if x[0] and not x[1] and x[2] > links * len(x[0]) else x[0] for x in lines]
+    sizes = [len(t) * (weight if x[1] else 1) for t, x in zip(texts, lines)]
     n = len(sizes)
     total, sums = 0, []
     for i in range(n + window - 1):

@@ -77,6 +77,17 @@ def test_html_article():
     assert html_text.extract_main(PAGE) == "Head & tail\nOne two three four\nFive"
 
 
+def test_html_article_weighs_lines_and_blanks_none():
+    body, teaser = ("body text " * 30).strip(), "<article><h2>Teaser</h2><p>read</p></article>"
+    assert body in html_text.extract_main(f"<body>{teaser}<div><p>{body}</p></div></body>")
+    assert html_text.extract_main(f"<body><div><p>{body}</p></div>{teaser}</body>").startswith(body)
+    page = f"<body><p>dateline</p><article><div><p>{body}</p></div><nav>n</nav><p>by</p></article><p>imprint</p></body>"
+    assert html_text.extract_main(page) == body  # 'by' is outside the kept run's container and below surge
+    nested = f"<body><main><h1>T</h1><article><p>{body}</p></article></main></body>"
+    assert html_text.extract_main(nested) == "T\n" + body
+    assert html_text.extract_main(page.replace("by<", "a line of some length<")) == body + "\na line of some length"
+
+
 def test_html_without_article_uses_line_blocks():
     p = "<html><body><div class=nav><a href=a>A</a></div><div><p>" + "long text " * 20 + "</p><p>short</p></div><div id='footer'>F</div></body></html>"
     assert html_text.extract_main(p) == ("long text " * 20).strip() + "\nshort"
