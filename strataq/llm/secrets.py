@@ -25,6 +25,7 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
 IDENTIFIER = re.compile(r"[A-Za-z]+(?:[_.\-/][A-Za-z]+)*[_.\-]?\d{0,4}")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @lru_cache(maxsize=4)
@@ -47,20 +48,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def excluded(run: str) -> bool:
-    """Known digests and identifiers: they look random, or cost many tokens, and are no secrets."""
-    if UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
+    """Known digests: they look random and are no secrets."""
+    if UUID.fullmatch(run):
         return True
     return bool(HEX_ONLY.fullmatch(run)) and (len(run) in DIGEST_LENGTHS or run.isdigit())
 
 
+def identifier(run: str, enc) -> bool:
+    """Names of words: of their letters, half stand in parts of 4 letters or more that cost at most a token for each 3.
+
+    Parts are taken in lower case and after a space, as words are in the vocabulary.
+    """
+    if not IDENTIFIER.fullmatch(run):
+        return False
+    parts = PART.findall(run)
+    words = sum(len(p) for p in parts if len(p) >= 4 and len(p) >= 3 * len(enc.encode_ordinary(" " + p.lower())))
+    return 2 * words >= sum(map(len, parts)) >= 0.75 * len(run)
+
+
 def random_spans(text: str, enc, most: float) -> list[tuple[int, int]]:
-    """Runs with a digit whose characters per token fall below `most`."""
+    """Runs with a letter or digit whose characters per token fall below `most`, but digests and names of words."""
     spans = []
     for m in RUN.finditer(text):
         run = m.group().strip("-/_")
-        if len(run) < 16 or not any(c.isdigit() for c in run) or excluded(run):
+        if len(run) < 16 or not any(c.isalnum() for c in run) or excluded(run):
             continue
-        if len(run) < most * len(enc.encode_ordinary(run)):
+        if len(run) < most * len(enc.encode_ordinary(run)) and not identifier(run, enc):
             at = m.start() + m.group().index(run)
             spans.append((at, at + len(run)))
     return spans
