@@ -15,6 +15,7 @@ from .common import column, map_arrow, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_PIECE, LONGEST_WORD = 8, 40
+LOT = 64  # languages scored at a time
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SCALE = 64.0  # a character's share, so that products of probabilities stay in a double's range
 
@@ -155,43 +156,71 @@ class Lattice:
 
 @dataclass
 class Model:
+    """Languages in order, and of each the pieces that its texts use; any other piece has the probability `rest`."""
+
     languages: list[str]
-    probs: np.ndarray
-    floor: float
+    rest: list[float]
+    ids: list[np.ndarray]
+    probs: list[np.ndarray]
     path: str
+    floor: float = 1e-7
+
+    def lots(self, words: list[str], most: int = LOT):
+        """Log probabilities of the words, a column for each language, `most` languages at a time."""
+        vocab = vocabulary(self.path)
+        lattice = Lattice(vocab, words)
+        for at in range(0, len(self.languages), most):
+            own = range(at, min(at + most, len(self.languages)))
+            probs = np.empty((len(vocab.pieces), len(own)))
+            for k, i in enumerate(own):
+                probs[:, k] = self.rest[i]
+                probs[self.ids[i], k] = self.probs[i]
+            yield lattice.forward(probs, self.floor)
 
-    def words(self, words: list[str]) -> np.ndarray:
-        return Lattice(vocabulary(self.path), words).forward(self.probs, self.floor)
 
+def fit_one(texts: list[str], path: str, rounds: int = 4, prior: float = 0.05, floor: float = 1e-7):
+    """Piece probabilities of one language: expectation maximisation over all segmentations of its words.
 
-def fit(texts: list[str], langs: list[str], path: str, rounds: int = 4, prior: float = 0.05, floor: float = 1e-7) -> Model:
-    """Piece probabilities by language: expectation maximisation over all segmentations of the words."""
-    names = sorted(set(langs))
+    Gives the probability of pieces not in use, the pieces in use and their probabilities.
+    """
     vocab = vocabulary(path)
-    counts: dict[str, np.ndarray] = {}
-    for text, lang in zip(texts, langs):
-        k = names.index(lang)
+    counts: dict[str, int] = {}
+    for text in texts:
         for w in words_of(text):
-            if (c := counts.get(w)) is None:
-                c = counts[w] = np.zeros(len(names))
-            c[k] += 1
-    words = list(counts)
-    weights = np.array([counts[w] for w in words]).reshape(len(words), len(names))
-    probs = np.full((len(vocab.pieces), max(1, len(names))), 1 / max(1, len(vocab.pieces)))
-    if words:
-        lattice = Lattice(vocab, words)
+            counts[w] = counts.get(w, 0) + 1
+    size = max(1, len(vocab.pieces))
+    probs, uses, total = np.full((len(vocab.pieces), 1), 1 / size), np.zeros((len(vocab.pieces), 1)), float(size)
+    if counts:
+        lattice = Lattice(vocab, list(counts))
+        weights = np.array(list(counts.values()), np.float64)[:, None]
         for _ in range(rounds):
-            uses = lattice.expected(probs, floor, weights) + prior
-            probs = uses / uses.sum(0)
-    return Model(names, probs, floor, path)
+            uses = lattice.expected(probs, floor, weights)
+            total = (uses + prior).sum()
+            probs = (uses + prior) / total
+    ids = np.flatnonzero(uses[:, 0]).astype(np.int32)
+    return (prior / total if counts else 1 / size), ids, probs[ids, 0]
+
+
+def fit(sample: DataFrame, path: str) -> Model:
+    """A model of every language in the sample (text, lang): each is learned by itself, in a task's memory."""
+
+    def learn(table: pa.Table) -> pa.Table:
+        rest, ids, probs = fit_one(table["text"].to_pylist(), path)
+        return pa.table({"lang": table["lang"].cast(pa.string())[:1], "rest": pa.array([rest], pa.float64()),
+                         "ids": pa.array([ids.tobytes()], pa.binary()), "probs": pa.array([probs.tobytes()], pa.binary())})
+
+    found = sample.select("text", "lang").groupBy("lang").applyInArrow(learn, "lang string, rest double, ids binary, probs binary")
+    rows = sorted(found.collect(), key=lambda r: r["lang"])
+    return Model([r["lang"] for r in rows], [r["rest"] for r in rows], [np.frombuffer(r["ids"], np.int32) for r in rows],
+                 [np.frombuffer(r["probs"], np.float64) for r in rows], path)
 
 
 def sample_by_language(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held: int, most: int):
-    """At most `most` labelled documents of each language, by hash of the id, and at most 64 languages."""
+    """At most `most` labelled documents of each language, by hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.withColumn("fold", F.pmod(F.crc32(F.col("id").cast("string")), F.lit(folds)))
     rows = rows.where((F.coalesce("fold", F.lit(-1)) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64)
+    names = rows.groupBy("lang").agg(F.count("*").alias("n"))
     # Hashes are even, so the smallest `most` are among those below four times their share: a sort of a bounded table.
     ids = rows.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(1 << 32)).alias("mix")).join(F.broadcast(names), "lang")
     ids = ids.where(F.col("mix").cast("double") * F.col("n") < F.lit(4.0 * most * (1 << 32)))
@@ -205,30 +234,30 @@ def identify_language(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_
                       keep: tuple[str, ...] = ()) -> DataFrame:
     """id_col, held_out, lang_pred and score (0 to 1: the share of the likeliest language) for every whole text.
 
-    Piece probabilities are learned from at most `fit_rows` documents a language (those with the smallest hash of the
-    id) outside the held-out fold. A text that is null or has no letter, or a table without labelled texts, gives 'und'
+    Piece probabilities of every language are learned from at most `fit_rows` of its documents (those with the smallest
+    hash of the id) outside the held-out fold. A text that is null or has no letter, or a table without labelled texts, gives 'und'
     and 0; ties go to the language that sorts first; repeated rows are kept. `keep` names columns to carry along.
     """
     spark = docs.sparkSession
-    known = sample_by_language(docs, id_col, text_col, lang_col, folds, held_fold, fit_rows).toPandas()
-    model = spark.sparkContext.broadcast(fit(known["text"].tolist(), known["lang"].tolist(), vocabulary_path))
+    known = sample_by_language(docs, id_col, text_col, lang_col, folds, held_fold, fit_rows)
+    model = spark.sparkContext.broadcast(fit(known, vocabulary_path))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = model.value
         index: dict[str, int] = {}
         texts = [[index.setdefault(w, len(index)) for w in words_of(t)] for t in texts_of(batch, "_text")]
-        pred, score = [], []
-        if m.languages:
-            table = m.words(list(index)) if index else np.zeros((0, len(m.languages)))
-        for at in texts:
-            if not at or not m.languages:
-                pred.append("und")
-                score.append(0.0)
-                continue
-            total = table[np.array(at)].sum(0)
+        rows = [k for k, at in enumerate(texts) if at and m.languages]
+        totals = np.zeros((len(rows), len(m.languages)))
+        done = 0
+        for table in m.lots(list(index)) if rows else ():
+            for i, k in enumerate(rows):
+                totals[i, done:done + table.shape[1]] = table[np.array(texts[k])].sum(0)
+            done += table.shape[1]
+        pred, score = ["und"] * len(texts), [0.0] * len(texts)
+        for total, at in zip(totals, rows):
             k = int(total.argmax())
-            pred.append(m.languages[k])
-            score.append(float(1 / np.exp(np.clip(total - total[k], -700, 0)).sum()))
+            pred[at] = m.languages[k]
+            score[at] = float(1 / np.exp(np.clip(total - total[k], -700, 0)).sum())
         carried = [column(batch, n) for n in batch.schema.names if n != "_text"]
         names = [n for n in batch.schema.names if n != "_text"]
         return pa.RecordBatch.from_arrays([*carried, pa.array(pred, pa.string()), pa.array(score, pa.float64())],

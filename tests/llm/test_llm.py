@@ -233,6 +233,18 @@ def test_language(spark):
     assert lang_id.identify_language(docs_of(spark, texts).limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng, letters = random.Random(15), "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(70):  # the last languages have the fewest documents
+        own = rng.sample(letters, 6)
+        words = ["".join(rng.choice(own) for _ in range(rng.randrange(3, 7))) for _ in range(30)]
+        rows += [(100 * k + i, " ".join(rng.choice(words) for _ in range(40)), f"l{k:02}") for i in range(12 if k < 64 else 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify_language(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert len(out) == len(rows) and all(out[i] == lang for i, _, lang in rows)
+
+
 def test_forward_sums_all_segmentations():
     vocab = lang_id.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     rng = np.random.default_rng(3)
