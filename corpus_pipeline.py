@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many pages of their source hold."""
-    found = line_dedup.dedup_lines(docs)
+    """Texts without the lines that many different pages of their source hold; copies are left to the next stage."""
+    found = line_dedup.dedup_lines(docs, copies_once=True)
     return found.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -9,7 +9,7 @@ from .common import cut, parallelism
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                ratio: float = 0.02, min_pages: int = 5, broadcast_rows: int = 50_000) -> DataFrame:
+                ratio: float = 0.02, min_pages: int = 5, broadcast_rows: int = 50_000, copies_once: bool = False) -> DataFrame:
     """Drop the lines that more than `ratio` of a host's pages hold, on `min_pages` pages at least.
 
     Returns all columns of docs, with the text shortened, and n_lines, n_dropped (long; columns of docs of these names
@@ -27,6 +27,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = F.transform(lines, lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     pages = docs.select(host.alias("h"), F.array_compact(F.array_distinct(keys)).alias("ks"))
+    if copies_once:
+        pages = pages.distinct()
     totals = pages.groupBy("h").agg(F.count("*").alias("total"))
     counts = pages.select("h", F.explode("ks").alias("k")).groupBy("h", "k").agg(F.count("*").alias("n"))
     common = counts.where(F.col("n") >= min_pages).join(totals, "h").where(F.col("n") > ratio * F.col("total"))

@@ -31,6 +31,20 @@ def test_stage_columns_and_effects(spark, tmp_path):
     assert sum(r["length"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sum(r["length"] for r in seen["best_fit_packing"].collect())
 
 
+def test_one_copy_of_a_large_group_keeps_its_text(spark, tmp_path):
+    word = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}"
+    page = lambda k: "\n".join(" ".join(f"w{word(40 * k + 10 * i + j)}" for j in range(10)) for i in range(4))
+    rows = [(i, page(0) if i < 12 else page(i) + "\nshared footer line", "en", "big", 1) for i in range(300)]
+    rows += [(1000 + i, page(400) if i < 6 else page(400 + i), "en", "small", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cleaned = corpus_pipeline.lines(spark, docs, "")
+    assert cleaned.where("text like '%footer%'").count() == 0
+    cleaned.write.parquet(f"{tmp_path}/lines")
+    left = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/lines"), "").collect()
+    assert sum(r["text"] == page(0) for r in left) == 1 and sum(r["text"] == page(400) for r in left) == 1
+    assert len(left) == 289 + 15 and all(r["text"] for r in left)
+
+
 def test_pipeline_on_test_data(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     fill = np.zeros(1 + max(r["sequence_id"] for r in out), np.int64)
