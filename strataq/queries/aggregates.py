@@ -103,7 +103,7 @@ def block_summary(t: Tables):
                                                   F.array_join(F.array_sort(F.collect_set("l_linestatus")), ",").alias("hosts"))
 
 
-@query("D27 D28 D43 M21 M22 M27", """SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS safe, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS correct,
+@query("D28 D43 M21 M27", """SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS safe, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS correct,
 count(*) FILTER (WHERE quality = 0) AS abstained FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
 def primary_summary(t: Tables):
     q, x = F.col("quality"), F.col("toxic")

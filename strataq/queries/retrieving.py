@@ -115,13 +115,13 @@ def scored(t: Tables):
     return t.documents.select("doc_id", F.round(F.col("n_chars") / 100.0, 0).alias("score")).join(t.labels, "doc_id")
 
 
-@query("M16 M17 M25", f"WITH {GRID} SELECT threshold::DOUBLE AS threshold, tp, fp, round((tp / p::DOUBLE + 1 - fp / n::DOUBLE) / 2, 8) AS balanced_accuracy FROM b")
+@query("M16", f"WITH {GRID} SELECT threshold::DOUBLE AS threshold, tp, fp, round((tp / p::DOUBLE + 1 - fp / n::DOUBLE) / 2, 8) AS balanced_accuracy FROM b")
 def threshold_grid(t: Tables):
     e = scored(t)
     return R.threshold_grid(e, "score", F.col("quality") == 1, e.select(F.col("score").alias("threshold")).distinct())
 
 
-@query("M17 M18 M20", f"WITH {GRID} SELECT threshold::DOUBLE AS threshold, tp, fp, round((tp / p::DOUBLE + 1 - fp / n::DOUBLE) / 2, 8) AS balanced_accuracy FROM b ORDER BY 4 DESC, fp, tp DESC, threshold LIMIT 1")
+@query("M20", f"WITH {GRID} SELECT threshold::DOUBLE AS threshold, tp, fp, round((tp / p::DOUBLE + 1 - fp / n::DOUBLE) / 2, 8) AS balanced_accuracy FROM b ORDER BY 4 DESC, fp, tp DESC, threshold LIMIT 1")
 def best_threshold(t: Tables):
     e = scored(t)
     return R.best_threshold(R.threshold_grid(e, "score", F.col("quality") == 1, e.select(F.col("score").alias("threshold")).distinct()))

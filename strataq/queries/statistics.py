@@ -45,7 +45,7 @@ def slo(t: Tables):
     return p.groupBy("family").agg(F.sum("n").alias("n"), (F.sum("n") >= 300).alias("enough"), X.objective(F.max("p95")).alias("objective"), X.pilot_objective(F.max("p99")).alias("pilot"))
 
 
-@query("L10 L11 L27 L28", """SELECT event_type, round(4 / greatest(sum(CAST(value AS DECIMAL(18,2)))::DOUBLE / count(*), 0.01), 9) AS rate, round(sum(CAST(value AS DECIMAL(18,2)))::DOUBLE * 1.391, 4) AS planned,
+@query("L10 L28", """SELECT event_type, round(4 / greatest(sum(CAST(value AS DECIMAL(18,2)))::DOUBLE / count(*), 0.01), 9) AS rate, round(sum(CAST(value AS DECIMAL(18,2)))::DOUBLE * 1.391, 4) AS planned,
 round(greatest(max(value), 64) * 1.5 * 2, 6) AS need, greatest(max(value), 64) * 1.5 * 2 <= 4000 AS fits FROM events GROUP BY 1""")
 def reference_rate(t: Tables):
     busy = X.exact_sum("value", 2).cast("double")
@@ -90,7 +90,7 @@ def balanced_schedule(t: Tables):
     return t.supplier.select("s_suppkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(order, "s_suppkey")).cast("long").alias("slot"))
 
 
-@query("L30 L24 L21", """SELECT n_name, round(avg(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING'), 6) AS building, round(avg(c_acctbal) FILTER (WHERE c_mktsegment = 'MACHINERY'), 6) AS machinery
+@query("L30", """SELECT n_name, round(avg(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING'), 6) AS building, round(avg(c_acctbal) FILTER (WHERE c_mktsegment = 'MACHINERY'), 6) AS machinery
 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def headline_table(t: Tables):
     rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
