@@ -28,7 +28,8 @@ class WordTokenizer:
     """The ids of a BPE with word ends: distinct words are merged in bulk, and the tokenizers library does the rest.
 
     White space never joins a token there, so a text's ids are those of its white-space words in order. Words of ASCII
-    and accented Latin letters take the bulk path; any other word is encoded by the library itself.
+    and accented Latin letters take the bulk path; any other word is encoded by the library itself. An added token's
+    literal in a text, such as <|endoftext|>, is text: it gets ordinary ids, as with the library's encode_special_tokens.
     """
 
     def __init__(self, path: str):
