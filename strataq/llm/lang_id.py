@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .common import column, map_arrow, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST_PIECE, LONGEST_WORD = 8, 40
+LONGEST_WORD = 40
+LONGEST_PIECE = LONGEST_WORD + 1  # a piece that is longer, with the mark, is in no word
 LOT = 64  # languages scored at a time
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SCALE = 64.0  # a character's share, so that products of probabilities stay in a double's range
@@ -42,6 +43,7 @@ class Vocabulary:
         names = {sp.id_to_piece(i).lower().replace("▁", "^") for i in range(sp.get_piece_size())}
         names = {p for p in names if p.lstrip("^").isalpha() and p.count("^") <= 1 and len(p) <= LONGEST_PIECE}
         self.pieces = sorted(names)
+        self.longest = max(map(len, names), default=1)
         hashes = [self.hash(code_points([p], len(p)))[0] for p in self.pieces]
         order = np.argsort(np.array(hashes, np.uint64))
         self.keys, self.ids = np.array(hashes, np.uint64)[order], order.astype(np.int32)
@@ -86,7 +88,7 @@ class Lattice:
     """All segmentations of some words: for each length of word, the piece number of every (start, size)."""
 
     def __init__(self, vocab: Vocabulary, words: list[str]):
-        self.n, self.groups = len(words), []
+        self.n, self.longest, self.groups = len(words), vocab.longest, []
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         order = np.argsort(sizes, kind="stable")
         cuts = np.flatnonzero(np.diff(sizes[order])) + 1
@@ -94,7 +96,7 @@ class Lattice:
             width = int(sizes[rows[0]])
             codes = code_points(["^" + words[i] for i in rows], width)
             arcs = {}
-            for size in range(1, min(width, LONGEST_PIECE) + 1):
+            for size in range(1, min(width, self.longest) + 1):
                 for start in range(width - size + 1):
                     h = prefix[start] if size > 1 else np.zeros(len(rows), np.uint64)  # noqa: F821
                     if size == 1:
@@ -119,7 +121,7 @@ class Lattice:
             alpha = np.zeros((width + 1, len(rows), probs.shape[1]))
             alpha[0] = 1
             for end in range(1, width + 1):
-                for size in range(1, min(end, LONGEST_PIECE) + 1):
+                for size in range(1, min(end, self.longest) + 1):
                     ids = arcs.get((end - size, size))
                     if ids is not None:
                         p = table[ids] * SCALE ** size
@@ -140,7 +142,7 @@ class Lattice:
             beta = np.zeros_like(alpha)
             beta[width] = 1
             for start in range(width - 1, -1, -1):
-                for size in range(1, min(width - start, LONGEST_PIECE) + 1):
+                for size in range(1, min(width - start, self.longest) + 1):
                     ids = arcs.get((start, size))
                     if ids is None:
                         continue

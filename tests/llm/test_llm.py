@@ -264,6 +264,15 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [[total("^" + w, k) for k in (0, 1)] for w in words])
 
 
+def test_no_piece_is_left_out():
+    vocab, longest = lang_id.vocabulary(public_tokenizers.path("piece_bpe_32k.model")), 16
+    assert len(vocab.pieces) == 23_947 and max(map(len, vocab.pieces)) == vocab.longest == longest
+    probs = np.zeros((len(vocab.pieces), 1))
+    whole = next(p for p in vocab.pieces if len(p) == longest and p[0] == "^")
+    probs[vocab.pieces.index(whole)] = 0.25
+    assert np.allclose(lang_id.Lattice(vocab, [whole[1:]]).forward(probs, 1e-7), np.log(0.25))
+
+
 # --- secrets
 
 def test_secrets_of_letters_only():
