@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, texts_of
+from .common import column, map_arrow, release_memory, ship_package, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_WORD = 40
 LONGEST_PIECE = LONGEST_WORD + 1  # a piece that is longer, with the mark, is in no word
 LOT = 64  # languages scored at a time
+FIT_WORDS = 4096  # words in a lattice at a time when a language is learned
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SCALE = 64.0  # a character's share, so that products of probabilities stay in a double's range
 
@@ -193,10 +194,11 @@ def fit_one(texts: list[str], path: str, rounds: int = 4, prior: float = 0.05, f
     size = max(1, len(vocab.pieces))
     probs, uses, total = np.full((len(vocab.pieces), 1), 1 / size), np.zeros((len(vocab.pieces), 1)), float(size)
     if counts:
-        lattice = Lattice(vocab, list(counts))
-        weights = np.array(list(counts.values()), np.float64)[:, None]
+        words, weights = list(counts), np.array(list(counts.values()), np.float64)[:, None]
         for _ in range(rounds):
-            uses = lattice.expected(probs, floor, weights)
+            uses = np.zeros_like(probs)
+            for at in range(0, len(words), FIT_WORDS):  # lattices are built anew, so that one is held at a time
+                uses += Lattice(vocab, words[at:at + FIT_WORDS]).expected(probs, floor, weights[at:at + FIT_WORDS])
             total = (uses + prior).sum()
             probs = (uses + prior) / total
     ids = np.flatnonzero(uses[:, 0]).astype(np.int32)
@@ -207,10 +209,14 @@ def fit(sample: DataFrame, path: str) -> Model:
     """A model of every language in the sample (text, lang): each is learned by itself, in a task's memory."""
 
     def learn(table: pa.Table) -> pa.Table:
-        rest, ids, probs = fit_one(table["text"].to_pylist(), path)
+        try:
+            rest, ids, probs = fit_one(table["text"].to_pylist(), path)
+        finally:
+            release_memory()
         return pa.table({"lang": table["lang"].cast(pa.string())[:1], "rest": pa.array([rest], pa.float64()),
                          "ids": pa.array([ids.tobytes()], pa.binary()), "probs": pa.array([probs.tobytes()], pa.binary())})
 
+    ship_package(sample.sparkSession)
     found = sample.select("text", "lang").groupBy("lang").applyInArrow(learn, "lang string, rest double, ids binary, probs binary")
     rows = sorted(found.collect(), key=lambda r: r["lang"])
     return Model([r["lang"] for r in rows], [r["rest"] for r in rows], [np.frombuffer(r["ids"], np.int32) for r in rows],
