@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import time as C
 from ..operators import relational as R
-from ..sources import readers, sinks
+from ..sources import sinks
 from .base import Tables, query
 
 
@@ -26,7 +26,7 @@ def json_props(t: Tables):
     return t.events.where("event_type = 'error'").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("A04 A05 A16 A17 A18 A19", "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey = 100")
+@query("A04 A05 A16 A17 A18", "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey = 100")
 def child_scan(t: Tables):
     return R.lookup(t.lineitem, l_orderkey=100).select("l_orderkey", "l_linenumber", "l_suppkey").orderBy("l_linenumber", "l_suppkey")
 
@@ -59,7 +59,7 @@ def null_defaults(t: Tables):
                            F.get_json_object("props", "$.k").isNotNull().alias("has_k"))
 
 
-@query("A13 A14 A15 A47", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 16 END AS part FROM orders
+@query("A13", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 16 END AS part FROM orders
 WHERE o_orderstatus = 'O' AND (o_orderkey % 7 = 0 OR o_custkey % 16 = 3)""")
 def open_obligations(t: Tables):
     rows = t.orders.where("o_orderstatus = 'O'").select("o_orderkey", F.expr(
@@ -67,11 +67,6 @@ def open_obligations(t: Tables):
     return rows.where(R.global_or(F.col("part"), 3))
 
 
-@query("A20 A22 A23 A24")
-def snapshot_digests(t: Tables):
-    return readers.snapshot({n: getattr(t, n) for n in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "labels")})
-
-
 @query("A25 A26 D10", """SELECT n_regionkey, count(*) AS children, string_agg(n_nationkey::VARCHAR || ':' || n_name, ',' ORDER BY n_nationkey) AS listing
 FROM nation GROUP BY 1""")
 def ordered_children(t: Tables):

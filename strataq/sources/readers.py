@@ -79,12 +79,13 @@ def read_journal(spark: SparkSession, path: str, line_number: Column | None = No
 
     Lines are numbered within each file by their byte order, which whole-file reading keeps.
     """
-    files = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     rows = files.where(F.trim("text") != "").withColumn("_ok", F.try_parse_json("text").isNotNull())
-    last = rows.agg(F.max("line")).first()[0]
-    if rows.where(~F.col("_ok") & (F.col("line") < last)).limit(1).count():
+    last = rows.groupBy("_file").agg(F.max("line").alias("_good"), F.max(F.when(~F.col("_ok"), F.col("line"))).alias("_bad"),
+                                     F.count_if(~F.col("_ok")).alias("_n"))
+    if last.where("_n > 1 OR _bad < _good").limit(1).count():
         raise SourceError(f"{path} is malformed before its last line")
-    return rows.where("_ok").drop("_ok")
+    return rows.where("_ok").select("line", "text")
 
 
 def log_fields(df: DataFrame, text: str, fields: dict[str, str]) -> DataFrame:
@@ -94,6 +95,15 @@ def log_fields(df: DataFrame, text: str, fields: dict[str, str]) -> DataFrame:
     return rows.select(*df.columns, *(F.get_json_object("_json", p).alias(n) for n, p in fields.items()))
 
 
+def container_lines(df: DataFrame, text: str, fields: dict[str, str]) -> DataFrame:
+    """Lines of container logs, '<time> <stream> <F or P> <body>': stamp, stream, and fields of a JSON body or null."""
+    pattern = r"^(\S+) (stdout|stderr) [FP] (.*)$"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    rows = df.where(F.col(text).rlike(pattern)).select(part(1).alias("_stamp"), part(2).alias("stream"), part(3).alias("_body"))
+    return rows.select(F.col("_stamp").try_cast("timestamp").alias("stamp"), "stream", *(
+        F.when(F.try_parse_json("_body").isNotNull(), F.get_json_object("_body", p)).alias(n) for n, p in fields.items()))
+
+
 def read_framed(spark: SparkSession, path: str) -> DataFrame:
     """Records of length-framed, hash-checked journals: file, sequence, payload, valid.
 
@@ -159,6 +169,23 @@ def snapshot_problems(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.withColumn("problem", problem).where("problem IS NOT NULL").select("name", "problem")
 
 
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Names of the parquet tables in a directory."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    names = sorted(f.getPath().getName() for f in found)
+    return spark.createDataFrame([(n.removesuffix(".parquet"),) for n in names if n.endswith(".parquet")], "name string")
+
+
+def ordered_digests(tables: dict[str, DataFrame]) -> DataFrame:
+    """relation, rows and the digest of its rows as JSON lines in byte order; rows meet in one, so for small relations."""
+    one = []
+    for name, df in tables.items():
+        rows = F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns))))
+        one.append(df.agg(F.lit(name).alias("relation"), F.count("*").alias("rows"), F.sha2(F.array_join(rows, "\n"), 256).alias("digest")))
+    return reduce(lambda a, b: a.unionByName(b), one)
+
+
 def row_json(df: DataFrame) -> DataFrame:
     """Rows as JSON text, in the order of that text."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("row")).orderBy("row")

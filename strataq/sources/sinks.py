@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import SourceError
+from .readers import SourceError, snapshot
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -24,6 +24,28 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def pack(tables: dict[str, DataFrame], path: str) -> None:
+    """Compressed tables and a manifest of their rows and digests, each written once."""
+    for name, df in tables.items():
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/{name}")
+    write_once(snapshot(tables).coalesce(1), f"{path}/manifest")
+
+
+def unpack(spark: SparkSession, path: str, names: list[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The manifest of a pack and its tables, for snapshot_problems to compare."""
+    return spark.read.parquet(f"{path}/manifest"), {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
+    """A small file, written through the session's file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, False)
+    try:
+        out.write(bytearray(raw))
+    finally:
+        out.close()
+
+
 def prometheus(df: DataFrame, name: str, value: str, labels: list[str]) -> DataFrame:
     """Metric rows as exposition lines."""
     escaped = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
