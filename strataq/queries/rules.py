@@ -115,7 +115,7 @@ def coverage(t: Tables):
     return I.coverage(t.spark, {"fencing": True, "restart": True, "kernel faults": False})
 
 
-@query("K25 K26 K39 K40", """SELECT e.event_id, count(c.event_id) AS holders FROM events e LEFT JOIN events c ON c.user_id = e.user_id AND c.event_type = 'signup' AND epoch_us(c.ts) <= epoch_us(e.ts) AND epoch_us(e.ts) < epoch_us(c.ts) + 86400000000
+@query("K26", """SELECT e.event_id, count(c.event_id) AS holders FROM events e LEFT JOIN events c ON c.user_id = e.user_id AND c.event_type = 'signup' AND epoch_us(c.ts) <= epoch_us(e.ts) AND epoch_us(e.ts) < epoch_us(c.ts) + 86400000000
 WHERE e.event_type = 'error' GROUP BY 1""")
 def session_containment(t: Tables):
     e = t.events.select("event_id", "user_id", "event_type", C.micros(F.col("ts")).alias("us"))
@@ -128,7 +128,7 @@ def session_containment(t: Tables):
     return rows.withColumn("holders", run).where("event_id IS NOT NULL").select("event_id", "holders")
 
 
-@query("K29 K30 K35 K36", """SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) WHERE p = 'P' AND o_orderstatus = 'F'""")
+@query("K30", """SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) WHERE p = 'P' AND o_orderstatus = 'F'""")
 def consumed_next_revision(t: Tables):
     p = F.lag("o_orderstatus").over(S.by(["o_custkey"], "o_orderdate", "o_orderkey"))
     return t.orders.withColumn("p", p).where("p = 'P' AND o_orderstatus = 'F'").select("o_custkey", "o_orderkey")

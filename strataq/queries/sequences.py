@@ -68,7 +68,7 @@ def change_journal(t: Tables):
     return S.changes(rows, ["o_custkey"], ["o_orderkey"], "digest").select("o_custkey", "o_orderkey", "old_digest", "digest")
 
 
-@query("E09 E13 E26 K21 K32", """SELECT user_id, count(*) FILTER (WHERE event_id > 500 AND value < 20) AS stale, count(*) AS rows FROM (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS value FROM events) GROUP BY 1""")
+@query("E26", """SELECT user_id, count(*) FILTER (WHERE event_id > 500 AND value < 20) AS stale, count(*) AS rows FROM (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS value FROM events) GROUP BY 1""")
 def fence_report(t: Tables):
     rows = t.events.select("event_id", "user_id", F.floor("value").alias("epoch"))
     return S.fenced(rows, ["user_id"], "event_id", "epoch", 500, 20)
@@ -198,7 +198,7 @@ def effect_fold(t: Tables):
     return replay.replay_effects(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "effect_key"])
 
 
-@query("I07 K42")
+@query("I07")
 def lease_fold(t: Tables):
     rows = events(t).select((F.col("user_id") % 16).alias("part"), "event_id", F.when(F.col("event_type") == "signup", "release").when(F.col("event_type") == "view", "renew").otherwise("acquire").alias("action"),
                             F.col("user_id").cast("string").alias("owner"), F.col("us").alias("at"), F.lit(36000000000).alias("ttl"))
