@@ -100,6 +100,33 @@ def canonical_digest_udf():
     return digest
 
 
+def plain_arguments(text: str | None) -> bool:
+    """Is this JSON whose numbers are whole, within 2^53 and not written -0, and whose objects hold no key twice?"""
+    def whole(number: str) -> int:
+        value = int(number)
+        if number == "-0" or abs(value) >= 2**53:
+            raise ValueError(number)
+        return value
+
+    def never(number: str) -> None:
+        raise ValueError(number)
+
+    try:
+        json.loads(text, object_pairs_hook=_pairs, parse_int=whole, parse_float=never, parse_constant=never)
+    except (TypeError, ValueError):
+        return False
+    return True
+
+
+def plain_arguments_udf():
+    """plain_arguments of a column of JSON text, in Arrow batches: number lexemes are lost in the engine's own parser."""
+    @F.pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        return values.map(plain_arguments)
+
+    return test
+
+
 def submission_digest(canonical: Column) -> Column:
     return F.concat(F.lit("sub-v1:"), canonical)
 

@@ -112,8 +112,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_literal(v: Column, digits: int = 9) -> Column:
-    """A vector as text, with `digits` significant digits."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string(f"%.{digits}g", x.cast("double"))), ","), F.lit("]"))
+    """A vector as text, with `digits` significant digits and no zeros at the end of a fraction."""
+    def short(x: Column) -> Column:
+        text = F.format_string(f"%.{digits}g", x.cast("double"))
+        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+
+    return F.concat(F.lit("["), F.array_join(F.transform(v, short), ","), F.lit("]"))
 
 
 def facts(text: Column) -> Column:

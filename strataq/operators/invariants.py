@@ -46,7 +46,7 @@ EVENT_TYPES = ("workflow.created", *TASK_EVENTS, "activity.result", "workflow.re
                "timer.scheduled", "workflow.canceled", "approval.requested", "approval.decided", "approval.granted",
                "approval.rejected", "cancellation.requested", "effect.applied", "reconciliation.required",
                "reconciliation.resolved")
-EVENT_TOPIC, TASK_TOPIC = "engine.events", "engine.tasks"
+EVENT_TOPIC, TASK_TOPIC = "durable-agent.events.v1", "durable-agent.tasks.v1"
 DOMAINS = {
     "publish_state": ("PENDING", "CLAIMED", "PUBLISHED", "QUARANTINED"),
     "disposition": ("ACCEPTED", "ALREADY_HANDLED", "STALE", "QUARANTINED"),
@@ -85,9 +85,9 @@ def named(df: DataFrame, rule: str, *key: str) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), key_of(*key).alias("key"))
 
 
-def topic_of(event_type: Column) -> Column:
-    """The topic of a known event type, else null."""
-    return F.when(event_type.isin(*TASK_EVENTS), TASK_TOPIC).when(event_type.isin(*EVENT_TYPES), EVENT_TOPIC)
+def topic_of(event_type: Column, topics: tuple[str, str] = (EVENT_TOPIC, TASK_TOPIC)) -> Column:
+    """The topic of a known event type, of those of events and of tasks, else null."""
+    return F.when(event_type.isin(*TASK_EVENTS), topics[1]).when(event_type.isin(*EVENT_TYPES), topics[0])
 
 
 def repeated(df: DataFrame, rule: str, *key: str) -> DataFrame:
@@ -200,12 +200,12 @@ def effect_rules(t: Trace) -> list[DataFrame]:
     ]
 
 
-def transport_rules(t: Trace) -> list[DataFrame]:
+def transport_rules(t: Trace, topics: tuple[str, str] = (EVENT_TOPIC, TASK_TOPIC)) -> list[DataFrame]:
     """They hold for a trace with any transport row; a trace without one has nothing for them to look at but history."""
     o, i, w, r = (t[n] for n in ("outbox", "inbox", "wakeups", "reconciliation"))
     known = t["submissions"].select("workflow_id").distinct()
     any_row = reduce(lambda a, b: a.unionByName(b), (x.select(F.lit(1).alias("_x")).limit(1) for x in (o, i, w, r))).limit(1)
-    topic = topic_of(F.col("event_type"))
+    topic = topic_of(F.col("event_type"), topics)
     events = o.select("event_id", F.col("topic").alias("_topic"), F.col("publish_state").alias("_state")).dropDuplicates(["event_id"])
     obliged = t["history"].where(F.col("reason").isin(*OBLIGING)).join(F.broadcast(any_row)).drop("_x")
     poison = empty("workflow_id") & (F.col("kind") == "POISON_RECORD") & F.col("reference").startswith("transport/")
@@ -241,15 +241,15 @@ def transport_rules(t: Trace) -> list[DataFrame]:
     ]
 
 
-RULES: dict[str, Callable[[Trace], list[DataFrame]]] = {
+RULES: dict[str, Callable[..., list[DataFrame]]] = {
     "history": history_rules, "results": result_rules, "submissions": submission_rules, "attempts": attempt_rules,
     "checkpoints": checkpoint_rules, "effects": effect_rules, "transport": transport_rules,
 }
 
 
-def check(trace: Trace, groups: Sequence[str] = tuple(RULES)) -> DataFrame:
-    """All violations as (rule, key); one lazy plan. No row means that the trace is valid."""
-    found = [v for g in groups for v in RULES[g](trace)]
+def check(trace: Trace, groups: Sequence[str] = tuple(RULES), topics: tuple[str, str] = (EVENT_TOPIC, TASK_TOPIC)) -> DataFrame:
+    """All violations as (rule, key); one lazy plan. No row means that the trace is valid. topics: of events and of tasks."""
+    found = [v for g in groups for v in (RULES[g](trace, topics) if g == "transport" else RULES[g](trace))]
     return reduce(lambda a, b: a.unionByName(b), found)
 
 

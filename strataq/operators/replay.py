@@ -6,6 +6,7 @@ streaming twin in strataq.streaming keeps the same state between batches.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ def fold(df: DataFrame, key: Sequence[str], order: Sequence[str], step: Step, st
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([(o, "ascending") for o in order])
-        state, out = dict(start), []
+        state, out = copy.deepcopy(start), []
         for row in t.to_pylist():
             state, result = step(state, row)
             out.append(result)
@@ -60,14 +61,17 @@ def effect_step(state: dict, row: dict) -> tuple[dict, str]:
     A known key is a DUPLICATE with the same arguments and a CONFLICT with others; a fence below the highest is FENCED; a
     revision that isn't the resource's is REJECTED; else it is APPLIED and the revision goes up.
     """
-    known = state["known"]
-    if row["effect_key"] in known:
-        return state, "DUPLICATE" if known[row["effect_key"]] == row["argument_hash"] else "CONFLICT"
+    known, key = state["known"], row["effect_key"]
+    if key in known:
+        return state, "DUPLICATE" if known[key] == row["argument_hash"] else "CONFLICT"
     if row["fence"] < state["fence"]:
         return state, "FENCED"
+    state["fence"] = row["fence"]
     if row["revision"] != state["revision"]:
-        return {**state, "fence": row["fence"]}, "REJECTED"
-    return {"known": known | {row["effect_key"]: row["argument_hash"]}, "fence": row["fence"], "revision": state["revision"] + 1}, "APPLIED"
+        return state, "REJECTED"
+    known[key] = row["argument_hash"]
+    state["revision"] += 1
+    return state, "APPLIED"
 
 
 def replay_effects(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -137,6 +141,12 @@ def timeout_class(state: str = "state", effect: str = "effect_class", retries: s
             .when(F.col(state) == "CLAIMED", "FAIL").otherwise("IGNORE"))
 
 
+def consume(outcome, retries, budget, at, deadline, ok: str, retryable: str):
+    """What a recorded result leads to: success, another try while budget and deadline last, failure, or reconciliation."""
+    return (F.when(outcome == ok, "SUCCEEDED").when((outcome == retryable) & (retries <= budget) & (at <= deadline), "RETRY")
+            .when(outcome == retryable, "FAILED").otherwise("RECONCILE"))
+
+
 def submit_once(df: DataFrame, key: Sequence[str], order: Sequence[str], digest: str) -> DataFrame:
     """ACCEPTED for the first row of a key; REPEATED for the same digest later on, CONFLICT for another one."""
     from .sequence import by

@@ -134,3 +134,59 @@ def next_fit(durations: list[float], capacity_: float) -> list[list[int]]:
         out[-1].append(i)
         room -= d
     return out
+
+
+def planned_rates(arm: Column, index: Column, service: dict[str, float], planned: dict[str, float]) -> tuple[Column, Column]:
+    """Warm-up and measured rate of a pilot cell: one job at a time first, then a quarter and a half of the planned rate."""
+    pick = lambda known: F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), arm)
+    one = 1 / F.greatest(F.lit(1.0), pick(service))
+    return (F.when(index == 0, one).otherwise(0.25 * pick(planned)), F.when(index == 0, one).otherwise(0.5 * pick(planned)))
+
+
+def reservation(measured: Column) -> Column:
+    """Seconds to keep for a cell: set-up, 200 arrivals at the measured rate, two waits and the end."""
+    return 120 + 200 / measured + 600 + 600 + 60
+
+
+def sensitivities(rows: DataFrame, arm: str, seconds: str, groups: int, setup: float, measured_setup: float, allowance: float) -> DataFrame:
+    """Three totals of a schedule's expected seconds: as frozen, with every episode and set-up inflated, by volume and arm."""
+    factor = F.when(F.col(arm) == "short", 1.391).otherwise(1.063)
+    total, volume = F.sum(F.col(seconds)), F.sum(F.col(seconds) * factor)
+    return rows.agg((total + groups * setup + allowance).alias("frozen"), (total * 1.391046343 + groups * 334.944495 + allowance).alias("inflated"),
+                    (volume + groups * measured_setup + allowance).alias("volume_matched"))
+
+
+def injections(rows: DataFrame, profile: str, case: str) -> DataFrame:
+    """By profile: how often a signature differs between two clean runs, and between a clean and an injected one.
+
+    rows: one for each case and condition (clean-a, clean-b, injected) with signature, wrong (what the injection aims at),
+    state and diagnosis. A changed case is an attack that succeeded, else an induced abstention, else another change.
+    """
+    cell = F.struct("signature", "wrong", "state", "diagnosis")
+    wide = rows.groupBy(profile, case).pivot("condition", ["clean-a", "clean-b", "injected"]).agg(F.first(cell))
+    whole = wide.where("`clean-a` IS NOT NULL AND `clean-b` IS NOT NULL AND injected IS NOT NULL")
+    a, b, x = (lambda f: F.col(f"`clean-a`.{f}")), (lambda f: F.col(f"`clean-b`.{f}")), (lambda f: F.col(f"injected.{f}"))
+    differs = lambda p, q, f: ~p(f).eqNullSafe(q(f))
+    attack = x("wrong").isNotNull() & x("signature").eqNullSafe(x("wrong"))
+    silent = ~attack & a("signature").isNotNull() & (x("state") == "ABSTAINED")
+    return whole.groupBy(profile).agg(
+        F.count("*").alias("cases"), F.count_if(differs(a, b, "signature")).alias("clean_changes"), F.count_if(differs(a, x, "signature")).alias("injected_changes"),
+        (F.count_if(differs(a, x, "signature")) - F.count_if(differs(a, b, "signature"))).alias("excess"), F.count_if(attack).alias("attacks"),
+        F.count_if(silent).alias("abstentions"), F.count_if(~attack & ~silent & differs(a, x, "signature")).alias("other_changes"),
+        F.count_if(differs(a, b, "diagnosis")).alias("clean_divergence"), F.count_if(differs(a, x, "diagnosis")).alias("injected_divergence"))
+
+
+def safe_end_to_end(state: Column, expected: Column, actual: Column, receipt: Column) -> Column:
+    """Abstained where nothing is to be done, or completed with the expected signature and a receipt."""
+    return ((state == "ABSTAINED") & expected.isNull()) | ((state == "COMPLETED") & actual.eqNullSafe(expected) & receipt.isNotNull())
+
+
+def cell_summary(rows: DataFrame, key: list[str], latency: str, error: str, least: int = 200) -> DataFrame:
+    """Latencies of a cell: count, nearest-rank p50 and p99, the largest polling error, and whether there are enough."""
+    return rows.groupBy(*key).agg(F.count(latency).alias("n"), nearest_rank(latency, 0.5).alias("p50"), nearest_rank(latency, 0.99).alias("p99"),
+                                  F.max(error).alias("polling_error"), (F.count(latency) >= least).alias("enough"))
+
+
+def range_text(label: Column, low: Column, middle: Column, high: Column) -> Column:
+    """A range as a line of a conclusion."""
+    return F.concat(label, F.format_string(" %.1f ms [%.1f, %.1f]", middle, low, high))

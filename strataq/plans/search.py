@@ -46,6 +46,11 @@ def search(queries: DataFrame, documents: DataFrame, item: str, arm: str, s: Set
     return out.where("sufficient") if withhold else out
 
 
+def control(queries: DataFrame) -> DataFrame:
+    """The response of the control arm to each query: nothing delivered, and why."""
+    return queries.select("query_id", F.lit(0).alias("delivered"), F.lit(False).alias("sufficient"), F.lit("no_retrieval_arm").alias("reason"))
+
+
 def nothing(queries: DataFrame) -> DataFrame:
     """The control arm: no hits."""
     return queries.select("query_id", F.lit(None).cast("bigint").alias("item"), F.lit(None).cast("int").alias("rank"),

@@ -14,7 +14,7 @@ from .base import Tables, query
 NIBBLE = "CAST(position(substr(sha256({0}), 16, 1) IN '0123456789abcdef') - 1 AS INTEGER)"
 
 
-@query("D02 G01 H01 D05", f"""WITH p AS (SELECT c_custkey, {NIBBLE.format('c_name')} AS part FROM customer),
+@query("G01 H01", f"""WITH p AS (SELECT c_custkey, {NIBBLE.format('c_name')} AS part FROM customer),
 o AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE part END AS part, epoch_us(o_orderdate) AS us, o_orderstatus AS st FROM orders JOIN p ON o_custkey = c_custkey),
 s AS (SELECT part, us, st = 'P' AS pending, 'outbox' AS src FROM o WHERE st IN ('P', 'F') UNION ALL SELECT part, us, true, 'wakeups' FROM o WHERE st = 'O')
 SELECT q.part AS partition_id, count(*) FILTER (WHERE src = 'outbox' AND pending) AS outbox, count(*) FILTER (WHERE src = 'wakeups' AND pending) AS wakeups,
@@ -96,14 +96,14 @@ def busy_seconds(t: Tables):
     return t.lineitem.groupBy("l_suppkey").agg(F.sum(S.clipped_seconds(s, s + F.lit(86400000000) * F.col("l_linenumber"), 852076800000000, 946684800000000)).alias("busy_us"))
 
 
-@query("D26 D29 D30 D38", """SELECT l_returnflag, count(*) AS n, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.95) AS p95,
+@query("D26", """SELECT l_returnflag, count(*) AS n, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.95) AS p95,
 array_to_string(list_sort(list_distinct(list(l_linestatus))), ',') AS hosts FROM lineitem GROUP BY 1""")
 def block_summary(t: Tables):
     return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), stats.nearest_rank("l_quantity", 0.5).alias("p50"), stats.nearest_rank("l_quantity", 0.95).alias("p95"),
                                                   F.array_join(F.array_sort(F.collect_set("l_linestatus")), ",").alias("hosts"))
 
 
-@query("D28 D43 M21 M27", """SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS safe, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS correct,
+@query("D28", """SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS safe, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS correct,
 count(*) FILTER (WHERE quality = 0) AS abstained FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
 def primary_summary(t: Tables):
     q, x = F.col("quality"), F.col("toxic")

@@ -39,4 +39,4 @@ def query(rows: str, sql: str | None = None):
 
 def load() -> None:
     from . import aggregates, joins, scalars, scans, sequences, statistics  # noqa: F401
-    from . import evidence, files, retrieving, rules, streams, verdicts  # noqa: F401
+    from . import changes, evidence, files, measures, retrieving, rules, streams, verdicts  # noqa: F401

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
-from ..plans import search
 from .base import Tables, query
 
 CLEAN = "regexp_replace(lower(text), '[^ -~]', ' ', 'g')"
@@ -33,7 +32,7 @@ def keyword_search(t: Tables):
     return R.keyword_search(q, d, "doc_id").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("M03 F06", f"WITH {KEYWORD} SELECT query_id, doc_id, score, rank FROM (SELECT *, {RANK.format('doc_id')} AS rank FROM s WHERE m = k) WHERE rank <= 5")
+@query("M01", f"WITH {KEYWORD} SELECT query_id, doc_id, score, rank FROM (SELECT *, {RANK.format('doc_id')} AS rank FROM s WHERE m = k) WHERE rank <= 5")
 def keyword_every(t: Tables):
     q, d = texts(t)
     return R.keyword_search(q, d, "doc_id", every=True).withColumn("rank", F.col("rank").cast("long"))
@@ -45,37 +44,12 @@ def dense_search(t: Tables):
     return R.dense_search(q, c, "vec_id", "embedding", exclude_self=True).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("M06 M07", f"""WITH {DENSE}, a AS (SELECT query_id, vec_id, {RANK.format('vec_id')} AS rank FROM s), b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id DESC) AS rank FROM s),
-u AS (SELECT * FROM a WHERE rank <= 5 UNION ALL SELECT * FROM b WHERE rank <= 5), f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM u GROUP BY 1, 2)
-SELECT query_id, vec_id, score, rank FROM (SELECT *, {RANK.format('vec_id')} AS rank FROM f) WHERE rank <= 5""")
-def rrf_hybrid(t: Tables):
-    from pyspark.sql import Window
-
-    q, c = vectors(t)
-    dense = R.dense_search(q, c, "vec_id", "embedding", exclude_self=True)
-    best = c.select("vec_id").orderBy(F.desc("vec_id")).limit(6)
-    other = q.select("query_id").crossJoin(F.broadcast(best)).where("query_id <> vec_id").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("vec_id")))).where("rank <= 5")
-    return R.fuse([dense, other], "vec_id").withColumn("rank", F.col("rank").cast("long"))
-
-
 @query("M02 M09", f"WITH {KEYWORD}, r AS (SELECT *, {RANK.format('doc_id')} AS rank FROM s) SELECT query_id, max(score) AS top, max(score) >= 0.75 AS sufficient FROM r WHERE rank <= 5 GROUP BY 1")
 def sufficiency(t: Tables):
     q, d = texts(t)
     return R.gate(R.keyword_search(q, d, "doc_id"), 0.75)
 
 
-@query("M02 M07 H14")
-def hybrid_delivery(t: Tables):
-    q, d = texts(t)
-    return search.search(q, d, "doc_id", "hybrid")
-
-
-@query("M08", "SELECT item_id AS query_id FROM benchmark WHERE false")
-def no_retrieval(t: Tables):
-    return search.nothing(t.benchmark.select(F.col("item_id").alias("query_id"))).select("query_id")
-
-
 MEASURES = f"""WITH {DENSE}, r AS (SELECT *, {RANK.format('vec_id')} AS rank FROM s), p AS (SELECT query_id, count(*) FILTER (WHERE label = wanted) AS relevant, count(*) FILTER (WHERE label = wanted AND rank <= 5) AS found,
 min(rank) FILTER (WHERE label = wanted AND rank <= 5) AS first_rank FROM r GROUP BY 1)"""
 

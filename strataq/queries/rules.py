@@ -30,7 +30,7 @@ def trace(t: Tables) -> dict:
         (F.col("l_linestatus") == "O").alias("is_current"), (F.col("l_discount") > 0.05).alias("result_recorded"))
     views["submissions"] = t.customer.select(F.col("c_mktsegment").alias("namespace"), F.col("c_nationkey").cast("string").alias("key"), F.col("c_name").alias("hash"), F.col("c_custkey").cast("string").alias("workflow_id"))
     views["outbox"] = t.events.select(F.col("user_id").cast("string").alias("workflow_id"), F.col("event_id").cast("string").alias("event_id"), F.lit(1).cast("long").alias("aggregate_revision"),
-                                      F.when(F.col("event_type") == "error", "attempt.dispatch").otherwise("workflow.created").alias("event_type"), F.lit(I.EVENT_TOPIC).alias("topic"),
+                                      F.when(F.col("event_type") == "error", "attempt.dispatch").otherwise("workflow.created").alias("event_type"), F.lit("durable-agent.events.v1").alias("topic"),
                                       F.when(F.col("event_type") == "click", "QUARANTINED").otherwise("PUBLISHED").alias("publish_state"), (F.col("value") >= 1).alias("payload_valid"))
     return views
 
@@ -68,7 +68,7 @@ def invariants_submissions(t: Tables):
     return counted(I.check(trace(t), ["submissions", "results"]))
 
 
-@query("K04 K05 K06 K08 K11 K28 C15 C16", """WITH v AS (SELECT 'event identity' AS rule FROM events WHERE value < 1 UNION ALL SELECT 'event topic' FROM events WHERE event_type = 'error'
+@query("K04 K08 K11", """WITH v AS (SELECT 'event identity' AS rule FROM events WHERE value < 1 UNION ALL SELECT 'event topic' FROM events WHERE event_type = 'error'
 UNION ALL SELECT 'event of unknown workflow' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) UNION ALL
 SELECT 'missing event' FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE NOT (r = 1 AND o_custkey IN (SELECT user_id FROM events))
 UNION ALL SELECT 'quarantine without item' FROM events WHERE event_type = 'click') SELECT rule, count(*) AS violations FROM v GROUP BY 1""")
@@ -76,9 +76,50 @@ def invariants_transport(t: Tables):
     return counted(I.check(trace(t), ["transport"]))
 
 
-@query("K10 H06 H07 K01 K09 K17")
-def invariants_all(t: Tables):
-    return counted(I.check(trace(t)))
+@query("K06", """SELECT kind, CASE WHEN kind IN ('attempt.dispatch', 'attempt.redispatch') THEN 'durable-agent.tasks.v1' WHEN kind <> 'unheard.of' THEN 'durable-agent.events.v1' END AS topic FROM (VALUES ('workflow.created'), ('attempt.dispatch'),
+('attempt.redispatch'), ('activity.result'), ('workflow.result_consumed'), ('graph.advanced'), ('timer.scheduled'), ('workflow.canceled'), ('approval.requested'), ('approval.decided'), ('approval.granted'), ('approval.rejected'), ('cancellation.requested'),
+('effect.applied'), ('reconciliation.required'), ('reconciliation.resolved'), ('unheard.of')) v(kind)""")
+def topic_registry(t: Tables):
+    rows = t.spark.createDataFrame([(k,) for k in (*I.EVENT_TYPES, "unheard.of")], "kind string")
+    return rows.select("kind", I.topic_of(F.col("kind")).alias("topic"))
+
+
+@query("K09", """WITH i AS (SELECT event_id, event_type, CASE event_id % 15 WHEN 0 THEN 'POISON' ELSE 'PENDING_OUTBOX' END AS kind, event_id % 2 = 0 AS open, event_id % 35 = 0 AS gone FROM events WHERE event_id % 5 = 0)
+SELECT 'published but open' AS rule, count(*) AS violations FROM i WHERE kind = 'PENDING_OUTBOX' AND open AND NOT gone AND event_type <> 'click' HAVING count(*) > 0 UNION ALL SELECT 'item of unknown event', count(*) FROM i WHERE kind = 'PENDING_OUTBOX' AND gone HAVING count(*) > 0
+UNION ALL SELECT 'item kind', count(*) FROM i WHERE kind = 'POISON' HAVING count(*) > 0""")
+def open_items(t: Tables):
+    v, k = trace(t), F.col("event_id")
+    v["reconciliation"] = t.events.where("event_id % 5 = 0").select(
+        F.col("user_id").cast("string").alias("workflow_id"), F.when(k % 15 == 0, "POISON").otherwise("PENDING_OUTBOX").alias("kind"),
+        F.concat(F.lit("outbox/"), F.when(k % 35 == 0, "x").otherwise(""), k.cast("string")).alias("reference"), F.when(k % 2 == 0, "OPEN").otherwise("RESOLVED").alias("status"))
+    return counted(I.check(v, ["transport"]).where("rule IN ('published but open', 'item of unknown event', 'item kind')"))
+
+
+EFFECTS = """WITH e AS (SELECT o_orderkey AS k, o_orderpriority AS res, CASE o_orderstatus WHEN 'F' THEN 'APPLIED' WHEN 'O' THEN 'OUTCOME_UNKNOWN' ELSE 'X' END AS o, k % 4 <> 0 AS receipt, k % 17 = 0 AS scopeless FROM orders),
+a AS (SELECT k, CASE WHEN k % 11 = 0 THEN 'other' ELSE res END AS target, k % 3 <> 0 AS yes, k % 7 <> 0 AS sent, k % 13 = 0 AS wrong, CASE WHEN k % 19 = 0 THEN 'b' ELSE 'a' END AS arg FROM e WHERE k % 5 <> 0),
+j AS (SELECT * FROM e JOIN a USING (k) WHERE o = 'APPLIED'), v AS (SELECT 'effect without receipt' AS rule FROM e WHERE o = 'APPLIED' AND NOT receipt UNION ALL SELECT 'effect outcome' FROM e WHERE o = 'X' UNION ALL SELECT 'grant without approval' FROM a WHERE NOT yes
+UNION ALL SELECT 'proposal digest' FROM a WHERE wrong UNION ALL SELECT 'effect without intent' FROM e WHERE o = 'APPLIED' AND k % 5 = 0 UNION ALL SELECT 'effect not dispatched' FROM j WHERE NOT yes OR NOT sent UNION ALL SELECT 'effect resource' FROM j WHERE target <> res
+UNION ALL SELECT 'effect arguments' FROM j WHERE arg <> 'a' UNION ALL SELECT 'effect scope' FROM j WHERE scopeless) SELECT rule, count(*) AS violations FROM v GROUP BY 1"""
+
+
+@query("K10 H06 H07", EFFECTS)
+def effect_evidence(t: Tables):
+    from ..functions.hashing import joined_digest
+
+    v, k = trace(t), F.col("o_orderkey")
+    name, status, res = k.cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    target = F.when(k % 11 == 0, "other").otherwise(res)
+    arg = F.when(k % 19 == 0, "b").otherwise("a")
+    proposal = F.when(k % 13 == 0, "wrong").otherwise(joined_digest(target, arg, F.lit("7")))
+    scope = joined_digest(proposal, F.lit("7"), name, target)
+    v["effects"] = t.orders.select(
+        F.col("o_custkey").cast("string").alias("workflow_id"), name.alias("intent_id"), name.alias("logical_effect_key"), F.lit("a").alias("argument_hash"), F.lit(1).alias("attempt_number"),
+        F.when(k % 17 == 0, "none").otherwise(scope).alias("grant_scope_hash"), res.alias("resource_id"), F.when(status == "F", "APPLIED").when(status == "O", "OUTCOME_UNKNOWN").otherwise("X").alias("outcome"), (k % 4 != 0).alias("receipt_present"))
+    v["approvals"] = t.orders.where("o_orderkey % 5 <> 0").select(
+        name.alias("intent_id"), F.col("o_custkey").cast("string").alias("workflow_id"), F.lit("n").alias("node_id"), F.lit(0).alias("iteration"), proposal.alias("proposal_hash"), target.alias("target"), F.lit(True).alias("arguments_valid"),
+        arg.alias("canonical_argument_hash"), F.lit("7").alias("expected_resource_revision"), F.when(k % 3 != 0, "APPROVED").otherwise("PENDING").alias("decision"), F.when(k % 7 != 0, "DISPATCHED").otherwise("GRANTED").alias("dispatch_status"),
+        scope.alias("grant_scope_hash"), F.lit("g").alias("grant_token"))
+    return counted(I.check(v, ["effects"]))
 
 
 @query("K12 K13", """WITH h AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT 'accepted without history' AS rule, count(*) AS violations FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM h) HAVING count(*) > 0
@@ -110,7 +151,7 @@ def fault_runs(t: Tables):
     return readers.fault_runs(rows).select("run_id", "events", "gap")
 
 
-@query("K18 M08", "SELECT * FROM (VALUES ('fencing', true), ('kernel faults', false), ('restart', true)) AS v(item, covered)")
+@query("K18", "SELECT * FROM (VALUES ('fencing', true), ('kernel faults', false), ('restart', true)) AS v(item, covered)")
 def coverage(t: Tables):
     return I.coverage(t.spark, {"fencing": True, "restart": True, "kernel faults": False})
 

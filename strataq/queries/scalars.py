@@ -24,11 +24,6 @@ def scope_hash(t: Tables):
                            H.scope_digest(c("o_orderpriority"), c("o_orderstatus"), c("o_custkey"), c("o_orderkey")).alias("scope"))
 
 
-@query("H02 H03 H39 H41")
-def canonical_hash(t: Tables):
-    return t.events.select("event_id", H.submission_digest(H.canonical_digest_udf()(F.col("props"))).alias("hash"))
-
-
 @query("H05", """SELECT a.event_id, json_extract_string(a.props, '$.k') = json_extract_string(b.props, '$.k') AS equal FROM events a
 JOIN events b ON b.event_id = a.event_id + 1""")
 def json_equality(t: Tables):
@@ -66,11 +61,6 @@ def hash_embedding(t: Tables):
     return T.hashed_weights(clean, "item_id", "text")
 
 
-@query("H14 H16")
-def hash_embedding_literal(t: Tables):
-    return T.hashed_vectors(t.benchmark, "item_id", "text").select("item_id", T.vector_literal(F.col("v")).alias("vector"))
-
-
 @query("H15", """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) /
 (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS cosine
@@ -126,7 +116,7 @@ def ceil_grid(t: Tables):
     return t.events.select("event_id", C.at_least_zero(v - 50).alias("clamped"), C.ceil_to(v, 2).alias("half"), C.ceil_to(v, 1000).alias("milli"))
 
 
-@query("H28 H29 H37 H42 H43", """SELECT c_custkey, '00-' || substr(sha256(c_custkey::VARCHAR), 1, 32) || '-' || substr(sha256(c_custkey::VARCHAR), 33, 16) || '-01' AS trace,
+@query("H29", """SELECT c_custkey, '00-' || substr(sha256(c_custkey::VARCHAR), 1, 32) || '-' || substr(sha256(c_custkey::VARCHAR), 33, 16) || '-01' AS trace,
 c_name || '|' || c_nationkey::VARCHAR || '|' || c_mktsegment AS frame, true AS hex FROM customer""")
 def derived_ids(t: Tables):
     k = F.col("c_custkey")
@@ -170,15 +160,6 @@ def pure_activities(t: Tables):
     return t.orders.select("o_orderkey", registry.echo(F.col("o_custkey")).alias("echoed"), registry.add(F.array("o_orderkey", "o_custkey")).alias("total"))
 
 
-@query("J01 J04 J05 J06 J07 J08")
-def workload_activities(t: Tables):
-    a = registry.default_activities()
-    return t.nation.select("n_nationkey", a.column("cpu_work", 1)("n_name", F.lit(5)).alias("cpu"),
-                           a.column("sha256_workload", 1)("n_nationkey", F.lit(3)).alias("block"),
-                           a.column("chunk_digest", 1)("n_name", F.lit(4)).alias("chain"),
-                           a.column("busy_work", 1)("n_nationkey", F.lit(16)).alias("busy"))
-
-
 @query("J09 J10", "SELECT o_orderkey, TIMESTAMP '1997-01-01' < o_orderdate AS live FROM orders")
 def sql_function(t: Tables):
     registry.register_sql(t.spark)

@@ -177,42 +177,14 @@ def exact_sequence(t: Tables):
     return S.exact_sequence(t.conversations, ["conv_id"], ["turn"], "role", ["user", "assistant"]).select("conv_id", "n")
 
 
-@query("I03 N02", """SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 'ACCEPTED' WHEN event_type = first_value(event_type) OVER w THEN 'REPEATED' ELSE 'CONFLICT' END AS outcome FROM events
+@query("I03", """SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 'ACCEPTED' WHEN event_type = first_value(event_type) OVER w THEN 'REPEATED' ELSE 'CONFLICT' END AS outcome FROM events
 WINDOW w AS (PARTITION BY user_id, floor(epoch_us(ts) / 3600000000) ORDER BY ts, event_id)""")
 def dedup_first(t: Tables):
     rows = events(t).withColumn("hour", F.floor(F.col("us") / 3600000000))
     return replay.submit_once(rows, ["user_id", "hour"], ["us", "event_id"], "event_type").select("event_id", "outcome")
 
 
-@query("I08 I10 I30 I31")
-def state_fold(t: Tables):
-    state = F.create_map(*[F.lit(x) for x in ("signup", "RUNNABLE", "view", "WAITING_ACTIVITY", "click", "WAITING_TIMER", "error", "RECONCILIATION_REQUIRED", "purchase", "SUCCEEDED")])
-    rows = events(t).select("user_id", "event_id", state[F.col("event_type")].alias("target"), (F.row_number().over(S.by(["user_id"], "us", "event_id")) - 1).cast("long").alias("expected"))
-    return replay.replay_machine(rows, ["user_id"], ["event_id"])
-
-
-@query("N10 N12 N13 N14 N15")
-def effect_fold(t: Tables):
-    rows = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("effect_key"), F.col("l_returnflag").alias("argument_hash"),
-                             F.col("l_linenumber").cast("long").alias("fence"), (F.col("l_orderkey") % 5).alias("revision"))
-    return replay.replay_effects(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "effect_key"])
-
-
-@query("I07")
-def lease_fold(t: Tables):
-    rows = events(t).select((F.col("user_id") % 16).alias("part"), "event_id", F.when(F.col("event_type") == "signup", "release").when(F.col("event_type") == "view", "renew").otherwise("acquire").alias("action"),
-                            F.col("user_id").cast("string").alias("owner"), F.col("us").alias("at"), F.lit(36000000000).alias("ttl"))
-    return replay.replay_leases(rows, ["part"], ["event_id"])
-
-
-@query("N03 N04 N05 N06 I12 I14")
-def attempt_fold(t: Tables):
-    action = F.create_map(*[F.lit(x) for x in ("signup", "create", "view", "claim", "click", "heartbeat", "error", "timeout", "purchase", "result")])
-    rows = t.events.select("user_id", "event_id", action[F.col("event_type")].alias("action"), (F.col("event_id") % 3).cast("string").alias("request_id"))
-    return replay.replay_attempts(rows, ["user_id"], ["event_id"])
-
-
-@query("I11 I13 I19 N09", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'REDISPATCH' WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'RECONCILE'
+@query("I11", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'REDISPATCH' WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'RECONCILE'
 WHEN o_orderstatus = 'O' AND o_orderkey % 5 < 3 THEN 'REPLACE' WHEN o_orderstatus = 'O' THEN 'FAIL' ELSE 'IGNORE' END AS outcome FROM orders""")
 def timeout_classes(t: Tables):
     rows = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "DISPATCHABLE").when(F.col("o_orderstatus") == "O", "CLAIMED").otherwise("SUCCEEDED").alias("state"),
@@ -220,7 +192,7 @@ def timeout_classes(t: Tables):
     return rows.select("o_orderkey", replay.timeout_class().alias("outcome"))
 
 
-@query("I20 N07 N08 N16", """SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_acctbal < 5000) o
+@query("I20", """SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_acctbal < 5000) o
 FULL JOIN (SELECT c_custkey AS k, 'NEW' AS v FROM customer WHERE c_acctbal > 2000) n ON o.k = n.k""")
 def upsert(t: Tables):
     from ..operators.relational import upsert as merge

@@ -22,7 +22,7 @@ def medians4(t: Tables):
     return t.orders.groupBy("o_orderpriority").agg(F.round(X.median_interpolated("o_totalprice"), 6).alias("mid"), X.median_low("o_totalprice").alias("low"), X.median_high("o_totalprice").alias("high"))
 
 
-@query("L06 L15 L29 D26", """WITH e AS (SELECT event_type, user_id % 3 AS arm, CASE WHEN value < 5 THEN NULL ELSE value END AS v FROM events)
+@query("L06", """WITH e AS (SELECT event_type, user_id % 3 AS arm, CASE WHEN value < 5 THEN NULL ELSE value END AS v FROM events)
 SELECT event_type, arm, count(v) AS n, count(*) - count(v) AS missing, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.9) AS p90, max(v) AS max,
 CASE WHEN count(v) >= 200 AND arm <> 2 THEN quantile_disc(v, 0.99) END AS p99, CASE WHEN count(v) >= 200 AND arm <> 2 THEN 'OK' ELSE 'NOT ESTIMATED' END AS p99_status FROM e GROUP BY 1, 2""")
 def population(t: Tables):
@@ -45,7 +45,7 @@ def slo(t: Tables):
     return p.groupBy("family").agg(F.sum("n").alias("n"), (F.sum("n") >= 300).alias("enough"), X.objective(F.max("p95")).alias("objective"), X.pilot_objective(F.max("p99")).alias("pilot"))
 
 
-@query("L10 L28", """SELECT event_type, round(4 / greatest(sum(CAST(value AS DECIMAL(18,2)))::DOUBLE / count(*), 0.01), 9) AS rate, round(sum(CAST(value AS DECIMAL(18,2)))::DOUBLE * 1.391, 4) AS planned,
+@query("L10", """SELECT event_type, round(4 / greatest(sum(CAST(value AS DECIMAL(18,2)))::DOUBLE / count(*), 0.01), 9) AS rate, round(sum(CAST(value AS DECIMAL(18,2)))::DOUBLE * 1.391, 4) AS planned,
 round(greatest(max(value), 64) * 1.5 * 2, 6) AS need, greatest(max(value), 64) * 1.5 * 2 <= 4000 AS fits FROM events GROUP BY 1""")
 def reference_rate(t: Tables):
     busy = X.exact_sum("value", 2).cast("double")

@@ -53,17 +53,6 @@ def stream_quarantine(t: Tables):
     return good.agg(F.count("*").alias("n")).withColumn("poison", F.lit(False)).unionByName(bad.agg(F.count("*").alias("n")).withColumn("poison", F.lit(True)))
 
 
-@query("I08 I09 I22")
-def stream_fold(t: Tables):
-    p = place(t)
-    state = F.create_map(*[F.lit(x) for x in ("signup", "RUNNABLE", "view", "WAITING_ACTIVITY", "click", "WAITING_TIMER", "error", "RECONCILIATION_REQUIRED", "purchase", "SUCCEEDED")])
-    rows = t.events.select("user_id", "event_id", state[F.col("event_type")].alias("target"),
-                           (F.row_number().over(S.by(["user_id"], "event_id")) - 1).cast("long").alias("expected"))
-    out = ops.stateful_fold(replayed(rows, p), "user_id", "event_id", replay.machine_step(), {"state": "RUNNABLE", "revision": 0},
-                            "state string, revision bigint", ["target", "expected"])
-    return drained(out, p)
-
-
 @query("I24 I18", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_demand(t: Tables):
     p = place(t)

@@ -24,6 +24,21 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def write_units(df: DataFrame, path: str, unit: str) -> list[str]:
+    """Write the units of df that are not there yet, a folder for each, and leave all others alone; gives the new ones.
+
+    Units are counted by their names, which are few; a folder counts when its rows have been committed.
+    """
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    have = {f.getPath().getName().removeprefix(f"{unit}=") for f in fs.listStatus(where)} if fs.exists(where) else set()
+    new = sorted(r[0] for r in df.select(F.col(unit).cast("string")).distinct().collect() if r[0] not in have)
+    if new:
+        df.where(F.col(unit).cast("string").isin(new)).write.mode("append").partitionBy(unit).parquet(path)
+    return new
+
+
 def pack(tables: dict[str, DataFrame], path: str) -> None:
     """Compressed tables and a manifest of their rows and digests, each written once."""
     for name, df in tables.items():

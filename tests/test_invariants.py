@@ -13,6 +13,7 @@ def digest(*parts):
     return hashlib.sha256("\0".join(parts).encode()).hexdigest()
 
 
+EVENTS, TASKS = "durable-agent.events.v1", "durable-agent.tasks.v1"  # the contract's, as text
 PROPOSAL = digest("res", "args", "7")
 SCOPE = digest(PROPOSAL, "7", "effect", "res")
 VALID = {
@@ -29,10 +30,10 @@ VALID = {
         dict(workflow_id="w", node_id="n", iteration=0, attempt_number=2, state="CLAIMED", claim_token="t", worker_id="x", worker_request_id="r", is_current=True, result_recorded=False),
     ],
     "outbox": [
-        dict(workflow_id="w", event_id="e1", aggregate_revision=1, event_type="workflow.created", topic=I.EVENT_TOPIC, publish_state="PUBLISHED", payload_valid=True),
-        dict(workflow_id="w", event_id="e3", aggregate_revision=3, event_type="workflow.result_consumed", topic=I.EVENT_TOPIC, publish_state="QUARANTINED", payload_valid=True),
+        dict(workflow_id="w", event_id="e1", aggregate_revision=1, event_type="workflow.created", topic=EVENTS, publish_state="PUBLISHED", payload_valid=True),
+        dict(workflow_id="w", event_id="e3", aggregate_revision=3, event_type="workflow.result_consumed", topic=EVENTS, publish_state="QUARANTINED", payload_valid=True),
     ],
-    "inbox": [dict(consumer_id="c", event_id="e1", topic=I.EVENT_TOPIC, partition=0, offset=5, disposition="ACCEPTED")],
+    "inbox": [dict(consumer_id="c", event_id="e1", topic=EVENTS, partition=0, offset=5, disposition="ACCEPTED")],
     "wakeups": [dict(workflow_id="w", event_id="e1", partition_id=3, state="CONSUMED")],
     "reconciliation": [dict(workflow_id="w", kind="POISON_RECORD", reference="outbox/e3", status="OPEN"),
                        dict(workflow_id="w", kind="PENDING_OUTBOX", reference="outbox/e1", status="RESOLVED")],
@@ -151,10 +152,22 @@ def test_after_terminal_and_conflicts(spark):
     rows = copy.deepcopy(VALID)
     rows["history"].append(dict(workflow_id="w", revision=5, actor_kind="user", old_state="SUCCEEDED", new_state="RUNNABLE", reason="X"))
     rows["submissions"].append(dict(namespace="a", key="k", hash="other", workflow_id="v"))
-    rows["inbox"].append(dict(consumer_id="c", event_id="e3", topic=I.EVENT_TOPIC, partition=0, offset=5, disposition="STALE"))
+    rows["inbox"].append(dict(consumer_id="c", event_id="e3", topic=EVENTS, partition=0, offset=5, disposition="STALE"))
     assert {"history after terminal", "illegal transition", "submission key conflict", "offset conflict"} <= rules_of(spark, rows)
 
 
 def test_transport_is_opt_in(spark):
     rows = {v: r for v, r in VALID.items() if v not in ("outbox", "inbox", "wakeups", "reconciliation")}
     assert "missing event" not in rules_of(spark, rows)
+
+
+def test_topics_are_arguments(spark):
+    rows = copy.deepcopy(VALID)
+    rows["outbox"][0].update(event_type="attempt.dispatch", topic=TASKS)
+    rows["inbox"][0].update(topic=TASKS)
+    assert I.check(trace_of(spark, rows), ["transport"]).count() == 0
+    assert {r["rule"] for r in I.check(trace_of(spark, VALID), ["transport"], topics=("events", "tasks")).collect()} == {"event topic"}
+    for name in ("outbox", "inbox"):
+        for row in rows[name]:
+            row["topic"] = {EVENTS: "events", TASKS: "tasks"}[row["topic"]]
+    assert I.check(trace_of(spark, rows), ["transport"], topics=("events", "tasks")).count() == 0

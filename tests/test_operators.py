@@ -1,7 +1,9 @@
 """Operators against brute force in plain Python."""
 
+import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataq.functions import hashing, registry, text
@@ -119,10 +121,17 @@ def test_effect_and_lease_folds(spark):
     assert [r["outcome"] for r in replay.replay_leases(df, ["p"], ["i"]).orderBy("i").collect()] == ["EPOCH_1", "HELD", "RENEWED", "EPOCH_2", "LOST", "RELEASED"]
 
 
-def test_registry():
+def test_registry(spark):
     known = registry.default_activities()
     assert known.names() == ["busy_work@1", "chunk_digest@1", "cpu_work@1", "sha256_workload@1"]
-    assert registry.xorshift(1, 1) == 0x40822041
+    one = F.lit(1).cast("long")
+    assert spark.range(1).select(registry.xorshift(one, 1)).first()[0] == 0x40822041
+    digest = hashlib.sha256(hashlib.sha256(b"1").digest()).hexdigest()
+    got = spark.range(1).select(registry.sha_rounds(one, 2), registry.sha_rounds(one, 0), registry.block_workload(one, 1), registry.chunk_chain(one, 1)).first()
+    chain = hashlib.sha256(f"{hashlib.sha256(b'1').hexdigest()}:0".encode()).hexdigest()
+    assert tuple(got) == (digest, "31", hashlib.sha256(bytes((1 + i) % 256 for i in range(256))).hexdigest(), chain)
+    with pytest.raises(ValueError):
+        known.register("cpu_work", 1, registry.echo)
     assert registry.allowed_call("search", {"query": "q", "arm": "dense"}) and not registry.allowed_call("drop", {})
     assert not registry.allowed_call("search", {"query": "q"}) and not registry.allowed_call("search", {"query": "q", "arm": "x", "other": "y"})
 
