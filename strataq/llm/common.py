@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import sys
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,10 @@ BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of this session hold no more than BATCH_ROWS rows and about BATCH_BYTES bytes: texts may be long."""
+    """Arrow batches of this session hold no more than BATCH_ROWS rows and about BATCH_BYTES bytes: texts may be long.
+
+    Plans are made lazily, so the two settings stay as they are set here; smaller ones of the caller are kept.
+    """
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
         now = spark.conf.get(key, None)
@@ -92,22 +96,46 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; without one a local session takes a temporary one, a cluster none."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        place = existing.get() if existing.isDefined() else "file://" + tempfile.mkdtemp(prefix="strataq-shared-")
+        if existing.isDefined():
+            return existing.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        place = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="strataq-shared-"))
     return place
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends there and survives lost executors."""
+    """Write df to the shared folder and read it again: the lineage ends there and survives lost executors.
+
+    The table stays until drop_cuts, as results are read lazily.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/strataq-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cuts_so_far(spark: SparkSession) -> int:
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def drop_cuts(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
+    """Delete the tables that cut has written, or those numbered first to last; for when nothing reads them any more."""
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    gone = paths[first:last]
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for p in gone:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(conf).delete(where, True)
+    del paths[first:last]
+    return len(gone)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -119,6 +147,3 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-
-def log(*what: object) -> None:
-    print(*what, file=sys.stderr)
