@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, decontaminate, html_text, jaccard, lang_id, line_dedup, packing, quality, secrets, suffix_dedup
 from .common import table
@@ -29,7 +30,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    # The kept text; where a cut goes through a character, what is left of that is U+FFFD here and as it is in kept_sha256.
+    return found.withColumn("text", F.expr("make_valid_utf8(CAST(kept AS STRING))")).drop("kept")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -214,10 +215,6 @@ def encoded(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column(batch, "text").to_pylist()]
 
 
-def filtered(df: DataFrame, names: DataFrame, many: int) -> DataFrame:
-    return df if many <= BROADCAST_NAMES else df.join(names, "name", "left_semi")
-
-
 def wanted(names: DataFrame, many: int):
     """The sorted names as a broadcast array where they are few enough, else None."""
     spark = names.sparkSession
@@ -236,7 +233,7 @@ def among(values: np.ndarray, known) -> np.ndarray:
 
 
 def repeated_spans(rows: DataFrame, length: int, gram: int, block_bytes: int, hot_segments: int) -> DataFrame:
-    """(row, start, end) byte spans of windows that stand more than once; rows has row (long) and text."""
+    """(row, start, end) byte spans of windows that stand more than once; rows has row (binary) and text."""
     slice_rows = 256
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -257,8 +254,9 @@ def repeated_spans(rows: DataFrame, length: int, gram: int, block_bytes: int, ho
              pa.array(s.place[keep]), pa.array(s.count[keep].astype(np.int32)), pa.array(s.uses(keep) > 1)],
             ["name", "digest", "row", "place", "windows", "inner"])
 
-    fields = "name long, digest binary, row long, place long, windows int, inner boolean"
-    segments = cut(filtered(map_arrow(rows, describe, fields, rows=slice_rows), names, many))
+    fields = "name long, digest binary, row binary, place long, windows int, inner boolean"
+    segments = map_arrow(rows, describe, fields, rows=slice_rows)
+    segments = cut(segments if known is not None else segments.join(names, "name", "left_semi"))
     alike = cut(segments.groupBy("name", "digest").agg(F.count("*").alias("n"), F.max("inner").alias("inner")))
     # Segments that stand twice are repeated throughout.
     twice = alike.where("n > 1").select("name", "digest")
@@ -267,47 +265,73 @@ def repeated_spans(rows: DataFrame, length: int, gram: int, block_bytes: int, ho
     # Buckets with different segments, or with a gram that stands twice in one, are sorted.
     mixed = alike.groupBy("name").agg(F.count("*").alias("kinds"), F.max("inner").alias("inner"), F.min("n").alias("low"))
     mixed = cut(mixed.where("(kinds > 1 OR inner) AND low = 1").select("name", "kinds"))
-    hot = mixed.where(F.col("kinds") > hot_segments)
+    hot = mixed.where(F.col("kinds") > hot_segments).select("name")
     cool = mixed.where(F.col("kinds") <= hot_segments).select("name")
     spans = whole
     many_cool = cool.count()
     if many_cool:
-        spans = spans.unionByName(sorted_spans(rows, cool, many_cool, length, gram, block_bytes, slice_rows))
+        spans = spans.unionByName(sorted_spans(rows, segments, cool, many_cool, length, gram, block_bytes, slice_rows))
     many_hot = hot.count()
     if many_hot:
-        spans = spans.unionByName(hot_spans(rows, hot.select("name"), many_hot, length, gram, slice_rows))
+        spans = spans.unionByName(hot_spans(rows, segments, hot, many_hot, length, gram, slice_rows))
     return spans
 
 
-def sorted_spans(rows: DataFrame, names: DataFrame, many: int, length: int, gram: int, block_bytes: int, slice_rows: int):
+def bytes_of(batch: pa.RecordBatch, known, length: int, gram: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(bucket, number of the row in the batch, place, bytes) of the segments of some buckets.
+
+    With a broadcast array of buckets the segments are found again; without one the rows bring a list of them.
+    """
+    texts = encoded(batch)
+    if known is not None:
+        s = Segments(texts, length, gram)
+        for r in among(s.name, known).tolist():
+            yield int(s.name[r]), int(s.doc[r]), int(s.place[r]), s.text(r)
+    else:
+        for i, (t, todo) in enumerate(zip(texts, column(batch, "todo").to_pylist())):
+            for x in todo:
+                yield x["name"], i, x["place"], t[x["place"]:x["place"] + x["windows"] + length - 1]
+
+
+def with_bytes(rows: DataFrame, segments: DataFrame, names: DataFrame, many: int) -> tuple[DataFrame, object]:
+    """Rows to read the bytes of some buckets' segments from: all with a broadcast array of names where those are few.
+
+    Else the rows that hold such a segment are joined with its places: bytes are only made where they are asked for.
+    """
     known = wanted(names, many)
+    if known is not None:
+        return rows, known
+    todo = segments.join(names, "name", "left_semi").groupBy("row").agg(F.collect_list(F.struct("name", "place", "windows")).alias("todo"))
+    return rows.join(todo, "row").select("row", "text", "todo"), None
+
+
+def sorted_spans(rows: DataFrame, segments: DataFrame, names: DataFrame, many: int, length: int, gram: int, block_bytes: int,
+                 slice_rows: int) -> DataFrame:
+    rows, known = with_bytes(rows, segments, names, many)
 
     def fetch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        s = Segments(encoded(batch), length, gram)
-        keep = among(s.name, known)
-        for at in range(0, len(keep), 1024):
-            part = keep[at:at + 1024]
-            texts = [s.text(r) for r in part.tolist()]
+        found = bytes_of(batch, known, length, gram)
+        while part := list(islice(found, 1024)):
+            name, doc, place, texts = zip(*part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s.name[part]), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
-                 column(batch, "row").take(pa.array(s.doc[part])), pa.array(s.place[part]), pa.array(texts, pa.binary())],
+                [pa.array(name, pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
+                 column(batch, "row").take(pa.array(doc)), pa.array(place, pa.int64()), pa.array(texts, pa.binary())],
                 ["name", "digest", "row", "place", "bytes"])
 
-    fetched = map_arrow(rows, fetch, "name long, digest binary, row long, place long, bytes binary", rows=slice_rows)
-    fetched = filtered(fetched, names, many)
+    fetched = map_arrow(rows, fetch, "name long, digest binary, row binary, place long, bytes binary", rows=slice_rows)
     one = fetched.groupBy("name", "digest").agg(
         F.min_by(F.struct("row", "place"), F.struct("row", "place")).alias("at"), F.first("bytes").alias("bytes"), F.count("*").alias("n"))
     dealt = one.select("name", "at.row", "at.place", "bytes", "n").repartition(parallelism(rows.sparkSession), "name")
     ship_package(rows.sparkSession)
 
-    def solve(held: list[tuple[int, int, int, bytes, int]]) -> pa.RecordBatch:
+    def solve(held: list[tuple[int, bytes, int, bytes, int]]) -> pa.RecordBatch:
         flags = repeated_windows([h[3] for h in held], length)
         out = [(r, p + a, p + b + length - 1) for (_, r, p, _, n), f in zip(held, flags) if n == 1 for a, b in runs_of(f)]
         cols = list(zip(*out)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["row", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64()))], ["row", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes, int]] = []
+        held: list[tuple[int, bytes, int, bytes, int]] = []
         size = 0
         for batch in batches:
             for x in zip(*(column(batch, c).to_pylist() for c in ("name", "row", "place", "bytes", "n"))):
@@ -319,25 +343,23 @@ def sorted_spans(rows: DataFrame, names: DataFrame, many: int, length: int, gram
         if held:
             yield solve(held)
 
-    return dealt.sortWithinPartitions("name").mapInArrow(trimmed(run), "row long, start long, end long")
+    return dealt.sortWithinPartitions("name").mapInArrow(trimmed(run), "row binary, start long, end long")
 
 
-def hot_spans(rows: DataFrame, names: DataFrame, many: int, length: int, gram: int, slice_rows: int) -> DataFrame:
+def hot_spans(rows: DataFrame, segments: DataFrame, names: DataFrame, many: int, length: int, gram: int, slice_rows: int) -> DataFrame:
     """The exact way for buckets of too many different segments: digests of single windows, counted with partial sums."""
-    known = wanted(names, many)
+    rows, known = with_bytes(rows, segments, names, many)
 
     def fetch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        s = Segments(encoded(batch), length, gram)
-        ids = column(batch, "row").to_pylist()
-        for r in among(s.name, known).tolist():
-            a, n = int(s.first[r]), int(s.count[r])
-            digests = [xxhash.xxh3_128_digest(s.buffer[p:p + length]) for p in range(a, a + n)]
+        ids = column(batch, "row")
+        for _, doc, place, t in bytes_of(batch, known, length, gram):
+            n = len(t) - length + 1
+            digests = [xxhash.xxh3_128_digest(t[p:p + length]) for p in range(n)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(s.name[r])] * n, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array([ids[s.doc[r]]] * n, pa.int64()), pa.array(np.arange(n) + int(s.place[r]))],
-                ["name", "digest", "row", "start"])
+                [pa.array(digests, pa.binary()), ids.take(pa.array(np.full(n, doc))), pa.array(np.arange(n) + place)],
+                ["digest", "row", "start"])
 
-    windows = filtered(map_arrow(rows, fetch, "name long, digest binary, row long, start long", rows=slice_rows), names, many)
+    windows = map_arrow(rows, fetch, "digest binary, row binary, start long", rows=slice_rows)
     twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     return windows.join(twice, "digest", "left_semi").select("row", "start", (F.col("start") + length).alias("end"))
 
@@ -357,7 +379,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     assert gram & (gram - 1) == 0 and length > gram >= 16
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = base.withColumn("row", F.xxhash64("id", "text"))
+    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    base = base.withColumn("row", F.unhex(F.md5(F.concat_ws(":", F.length(name), name, "text"))))
     spans = repeated_spans(base.select("row", "text"), length, gram, block_bytes, hot_segments)
     spans = cut(spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     joined = base.join(spans, "row", "left").select("id", "text", "spans")
