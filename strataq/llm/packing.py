@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import gc
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -21,22 +22,27 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 SIMPLE = regex.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xffĀ-įı-ž]+")
 PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 LONGEST = 32
-WORDS_KEPT = 400_000
+# Rows up to which the counts by task are broadcast; beyond, they are joined by the keys by which pieces are dealt anyway.
+BROADCAST_ROWS = 1_000_000
+# Texts of these characters alone are lower-cased whole, and a mark that ends a word of letters is cut off there.
+PLAIN_TEXT = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xffĀ-įı-ž]*")
+END_MARK = re.compile(r"([.,!?;:])(?<=[a-zà-öø-ÿā-ž][.,!?;:])(?=[\t-\r ]|\Z)")
+WORDS_KEPT = 600_000
 
 
 class WordTokenizer:
     """The ids of a BPE with word ends: distinct words are merged in bulk, and the tokenizers library does the rest.
 
     White space never joins a token there, so a text's ids are those of its white-space words in order. Words of ASCII
-    and accented Latin letters take the bulk path; any other word is encoded by the library itself. An added token's
-    literal in a text, such as <|endoftext|>, is text: it gets ordinary ids, as with the library's encode_special_tokens.
+    and accented Latin letters take the bulk path; any other word, and any text with the literal of an added token, is
+    encoded by the library itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
@@ -57,7 +63,6 @@ class WordTokenizer:
                 at = (at + 1) & ((1 << self.bits) - 1)
             self.keys[at], self.ranks[at] = key, rank
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def place(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -124,44 +129,53 @@ class WordTokenizer:
         return out
 
     def learn(self, words: list[str]) -> None:
-        """Put the ids of some words into `known`."""
-        known, parts = self.known, self.parts
-        single: list[tuple[str, str]] = []
+        """Put the ids of some words into `known`, and those of the lower-case parts that they are made of."""
+        known = self.known
+        easy = {w for w in words if w.isascii() and w.isalpha() and w.islower()}
+        need = set(easy)
         several: list[tuple[str, list[str]]] = []
-        need: set[str] = set()
         for w in words:
-            low = w.lower()
-            low = w if low == w else low  # one string, not two equal ones
+            if w in easy:
+                continue
             if w.isascii() or (SIMPLE.fullmatch(w) and len(w) <= 200):
+                low = w.lower()
                 if low.isalpha():
-                    single.append((w, low))
-                    need.add(low)
+                    found = [low]
                 else:
                     found = [low[:-1], low[-1]] if low[-1] in ".,!?" and low[:-1].isalpha() else PIECES.findall(low)
+                if len(found) != 1 or found[0] != w:
                     several.append((w, found))
-                    need.update(found)
+                need.update(found)
             else:
-                known[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        need.difference_update(parts)
-        raw = {p: p.encode() for p in need}
-        short = [p for p, b in raw.items() if len(b) <= LONGEST]
-        parts.update(zip(short, self.merge([raw[p] for p in short])))
-        for p, b in raw.items():
-            if len(b) > LONGEST:
-                parts[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        for w, p in single:
-            known[w] = parts[p]
+                known[w] = self.by_library(w)
+        need = list(need.difference(known))
+        raw = [p.encode() for p in need]
+        short = [i for i, b in enumerate(raw) if len(b) <= LONGEST]
+        known.update(zip([need[i] for i in short], self.merge([raw[i] for i in short])))
+        if len(short) < len(need):
+            known.update((p, self.by_library(p)) for p, b in zip(need, raw) if len(b) > LONGEST)
         for w, found in several:
-            known[w] = b"".join([parts[p] for p in found])
+            known[w] = b"".join([known[p] for p in found])
+
+    def by_library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        # str.split also breaks at the four separators below, which the pattern takes as signs.
-        words = [regex.split(r"[^\S\x1c-\x1f]+", t.strip(" \t\n\v\f\r")) if regex.search("[\x1c-\x1f]", t) else t.split()
-                 for t in texts]
+        whole = {}
+        words = []
+        for i, t in enumerate(texts):
+            if "<" in t and any(x in t for x in self.added):
+                whole[i] = self.by_library(t)
+                words.append([])
+            elif PLAIN_TEXT.fullmatch(t):
+                words.append(END_MARK.sub(r" \1", t.lower()).split())
+            elif regex.search("[\x1c-\x1f]", t):  # str.split breaks at these, which the pattern takes as signs
+                words.append(regex.split(r"[^\S\x1c-\x1f]+", t.strip(" \t\n\v\f\r")))
+            else:
+                words.append(t.split())
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-            self.parts.clear()
         new = set().union(*words).difference(self.known) if words else set()
         new.discard("")
         collecting = gc.isenabled()
@@ -173,7 +187,7 @@ class WordTokenizer:
                 gc.enable()
         self.known[""] = b""
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        return [whole[i] if i in whole else b"".join(map(get, w)) for i, w in enumerate(words)]
 
 
 @lru_cache(maxsize=2)
@@ -287,32 +301,31 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return plan, bins
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-                   salts: int = 64) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece of one id; only longer documents are cut; repeated rows are packed each for
-    itself; an empty table gives an empty result; other columns are not read.
+    itself; an empty table gives an empty result; other columns are not read. The literal of an added token, such as
+    <|endoftext|>, gets that token's id, as the library gives it.
 
     The driver sees the number of pieces by length only (at most `capacity` numbers) and plans on these. Pieces are
-    ranked within (length, salt), so no length gathers in one task, and look up their place in the plan, whose size
+    ranked within (length, task that made them), so no length gathers in one task however many pieces it has; a running
+    sum over the tasks of a length turns that into a rank among all. They look up their place in the plan, whose size
     depends on the capacity alone; it is broadcast.
     """
     spark: SparkSession = docs.sparkSession
-    pieces = cut(token_pieces(docs, vocabulary, capacity, id_col, text_col))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    sums = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).orderBy("length", "salt").collect()
-    counts: dict[int, int] = {}
-    before = []
-    for r in sums:
-        before.append((r["length"], r["salt"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
+    pieces = token_pieces(docs, vocabulary, capacity, id_col, text_col)
+    pieces = cut(pieces.withColumn("task", F.spark_partition_id()))  # written, so it stays what it is
+    sums = cut(pieces.groupBy("length", "task").agg(F.count("*").alias("n")))
+    counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan, _ = plan_bins(counts, capacity)
-    shift = spark.createDataFrame(before or [(0, 0, 0)], "length long, salt int, shift long")
     places = spark.createDataFrame(plan or [(0, 0, -1, 0, 0)], "length long, first long, last long, bin long, offset long")
-    order = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    shift = cut(sums.select("length", "task", F.coalesce(before, F.lit(0)).alias("shift")))
+    shift = F.broadcast(shift) if shift.count() <= BROADCAST_ROWS else shift
+    order = Window.partitionBy("length", "task").orderBy("id", "piece", "ids_crc32")
     ranked = pieces.withColumn("row", F.row_number().over(order) - 1)
-    ranked = ranked.join(F.broadcast(shift), ["length", "salt"]).withColumn("rank", F.col("row") + F.col("shift"))
+    ranked = ranked.join(shift, ["length", "task"]).withColumn("rank", F.col("row") + F.col("shift"))
     a, b = ranked.alias("a"), F.broadcast(places).alias("b")
     here = (F.col("a.length") == F.col("b.length")) & F.col("rank").between(F.col("first"), F.col("last"))
     return a.join(b, here).select(
