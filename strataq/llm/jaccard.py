@@ -65,7 +65,7 @@ def frequent(docs: DataFrame, sample_one_in: int, least: int, most: int) -> tupl
 
 
 def signatures(docs: DataFrame, heavy: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """id, n (set size), digest of the set, tokens (its prefix), n_cool (tokens before the hot ones) and share (of
+    """id, k, n (set size), digest of the set, tokens (its prefix), n_cool (tokens before the hot ones) and share (of
     frequent tokens in the set, in thousandths)."""
     known = docs.sparkSession.sparkContext.broadcast((heavy, hot))
 
@@ -89,11 +89,10 @@ def signatures(docs: DataFrame, heavy: np.ndarray, hot: np.ndarray) -> DataFrame
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])))
         return pa.RecordBatch.from_arrays(
-            [column(batch, "id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(cool, pa.int32()),
-             pa.array(share, pa.int32())], ["id", "n", "digest", "tokens", "n_cool", "share"])
+            [column(batch, "id"), column(batch, "k"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists,
+             pa.array(cool, pa.int32()), pa.array(share, pa.int32())], ["id", "k", "n", "digest", "tokens", "n_cool", "share"])
 
-    key = docs.schema["id"].dataType.simpleString()
-    return map_arrow(docs, run, f"id {key}, n long, digest binary, tokens array<long>, n_cool int, share int")
+    return map_arrow(docs, run, "id long, k long, n long, digest binary, tokens array<long>, n_cool int, share int")
 
 
 def list_pairs(tok: np.ndarray, n: np.ndarray, rep: np.ndarray, pos: np.ndarray, share: np.ndarray, short: int):
@@ -248,13 +247,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def open_groups(docs: DataFrame, members: DataFrame, labels: DataFrame, found: DataFrame, block: int) -> DataFrame:
+def open_groups(docs: DataFrame, members: DataFrame, labels: DataFrame, found: DataFrame, block_bytes: int) -> DataFrame:
     """Links that long lists leave open: edges (a, b), no more of them than join components.
 
-    members holds (centre, rep); two sets of one long list have its centre in common. Only sets that are not in the
+    members holds (centre, rep, n); two sets of one long list have its centre in common. Only sets that are not in the
     centre's component are looked up, among all sets of that centre, and links are found from postings of whole sets. A
     set is skipped if the answers of the centre rule its links out: x and y share at most
-    min(x & c, y & c) + min(x - c, y - c) elements. Large groups are cut into blocks, which are dealt in pairs.
+    min(x & c, y & c) + min(x - c, y - c) elements. The sets of a centre are dealt in blocks of about `block_bytes`, and
+    those to look up in lots of the same size: a task holds one of each, and what is sent grows with the sets to look up
+    and not with all pairs of blocks.
     """
     lab = labels.select(F.col("node").alias("rep"), "label")
     rows = members.join(lab, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -262,39 +263,46 @@ def open_groups(docs: DataFrame, members: DataFrame, labels: DataFrame, found: D
     rows = rows.join(own, "centre", "left").withColumn("own", F.coalesce("own", "centre"))
     known = found.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "shared")
     rows = rows.join(known, ["centre", "rep"], "left").withColumn("outside", F.col("label") != F.col("own"))
-    rows = cut(rows.select("centre", "rep", "label", "outside", F.coalesce("shared", F.lit(-1)).cast("long").alias("shared")))
-    size = rows.groupBy("centre").agg(F.bool_or("outside").alias("open"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = rows.join(size.where("open").select("centre", "blocks"), "centre")
-    rows = rows.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    tasks = cut(rows.groupBy("rep").agg(F.collect_list(F.struct("centre", "label", "outside", "shared", "at", "blocks")).alias("todo")))
+    rows = cut(rows.select("centre", "rep", "n", "label", "outside", F.coalesce("shared", F.lit(-1)).cast("long").alias("shared")))
+    parts = lambda n: F.ceil(8 * F.sum(n) / block_bytes).cast("int")
+    size = rows.groupBy("centre").agg(F.bool_or("outside").alias("open"), parts("n").alias("blocks"),
+                                      parts(F.when(F.col("outside"), F.col("n"))).alias("lots"))
+    rows = rows.join(size.where("open").select("centre", "blocks", "lots"), "centre")
+    deal = lambda n: F.pmod(F.xxhash64("rep", F.lit(n)), F.col(n)).cast("int")
+    rows = rows.withColumns({"block": deal("blocks"), "lot": deal("lots")})
+    fields = ("centre", "label", "outside", "shared", "block", "lot", "blocks", "lots")
+    tasks = cut(rows.groupBy("rep").agg(F.collect_list(F.struct(*fields)).alias("todo")))
     small = tasks.count() <= BROADCAST_ROWS
     tasks = tasks.withColumnRenamed("rep", "id")
     texts = docs.join(F.broadcast(tasks) if small else tasks, "id").select("id", "text", "todo")
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = ((t["centre"], min(t["at"], other), max(t["at"], other), t["at"], i, t["label"], t["outside"], t["shared"], s)
-                for i, s, todo in sets_of(batch) for t in todo for other in range(t["blocks"]))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-        yield from in_lots(rows, ["centre", "i", "j", "at", "rep", "label", "outside", "shared", "set"], kinds)
+        rows = ((t["centre"], i, j, asked, rep, t["label"], t["shared"], s)
+                for rep, s, todo in sets_of(batch) for t in todo
+                for i, j, asked in [*((t["block"], j, False) for j in range(t["lots"])),
+                                    *((i, t["lot"], True) for i in range(t["blocks"] if t["outside"] else 0))])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield from in_lots(rows, ["centre", "i", "j", "asked", "rep", "label", "shared", "set"], kinds)
 
-    fields = "centre long, i int, j int, at int, rep long, label long, outside boolean, shared long, set binary"
-    dealt = map_arrow(texts, sets, fields, rows=128)
+    dealt = map_arrow(texts, sets, "centre long, i int, j int, asked boolean, rep long, label long, shared long, set binary", rows=128)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep")
-        rep, label, outside, shared = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "outside", "shared"))
+        rep, label, shared, asked = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "shared", "asked"))
         raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
-        edges = group_links(raw, rep, label, outside, shared)
+        edges = group_links(raw, rep, label, shared, asked)
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     return dealt.groupBy("centre", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def group_links(sets: list[np.ndarray], rep: np.ndarray, label: np.ndarray, outside: np.ndarray, shared: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join the components of linked sets, for every link of an outside set; each joins two components."""
+def group_links(sets: list[np.ndarray], rep: np.ndarray, label: np.ndarray, shared: np.ndarray, asked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join the components of linked sets, for every link of an asked set with one that isn't asked; each
+    edge joins two components."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-    owner = np.repeat(np.arange(len(sets)), n)
+    held = np.flatnonzero(~asked)
+    flat = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in held)])
+    owner = np.repeat(held, n[held])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     parent: dict[int, int] = {}
@@ -306,9 +314,9 @@ def group_links(sets: list[np.ndarray], rep: np.ndarray, label: np.ndarray, outs
         return x
 
     edges = []
-    for x in np.flatnonzero(outside):
+    for x in np.flatnonzero(asked):
         least = needed(n[x], n)
-        fits = (5 * np.minimum(n[x], n) >= 4 * np.maximum(n[x], n)) & (label != label[x])
+        fits = (5 * np.minimum(n[x], n) >= 4 * np.maximum(n[x], n)) & (label != label[x]) & ~asked
         if shared[x] >= 0:
             bound = np.minimum(shared[x], shared) + np.minimum(n[x] - shared[x], n - shared)
             fits &= (shared < 0) | (bound >= least)
@@ -326,24 +334,24 @@ def group_links(sets: list[np.ndarray], rep: np.ndarray, label: np.ndarray, outs
     return edges
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_one_in: int = 4, least: int = 3,
-                   most_frequent: int = 1_000_000, short: int = 32, block: int = 4096) -> DataFrame:
-    """id_col, n_shingles and component_id: the smallest id that links of Jaccard similarity 0.8 and more reach.
-
-    Sets are all distinct 5-word shingles of the whole text, as 64-bit hashes. Equal sets are taken together first, and
-    only one of them is joined on. Null and empty texts have no shingles, link with nothing and are components of their
-    own; a row with a null id takes its component from others or has none; repeated rows share a component; an empty
-    table gives an empty result; other columns are not read. Ids are whole numbers.
-
-    Every pair of linked sets of different content meets in a list of their prefixes (see prefix_size). In a short list
-    all pairs are compared. In a long one each set is compared with the list's centre, and those that don't end up in its
-    component are looked up among all sets of that centre: no link is lost to the size of a list.
-    """
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    heavy, hot = frequent(picked, sample_one_in, least, most_frequent)
-    signed = cut(signatures(picked, heavy, hot))
-    some = signed.where("n > 0")
-    reps = some.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "tokens", "n_cool", "share")))
+def grouped(docs: DataFrame, sample_one_in: int = 4, least: int = 3, most_frequent: int = 1_000_000, short: int = 32,
+            block_bytes: int = 2_000_000) -> DataFrame:
+    """id, k, n, g (a name of the group) and component of docs' rows (id, text, k = a hash of both); see similar_groups."""
+    heavy, hot = frequent(docs, sample_one_in, least, most_frequent)
+    signed = cut(signatures(docs, heavy, hot))
+    # Sets are known by their id, or by k where rows of one id have different sets.
+    mixed = signed.where("id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    mixed = cut(mixed.where("low <> high").select("id", F.lit(True).alias("mixed")))
+    several = mixed.limit(1).count() > 0
+
+    def keyed(df: DataFrame) -> DataFrame:
+        if not several:
+            return df.withColumn("key", F.col("id"))
+        return df.join(mixed, "id", "left").withColumn("key", F.when(F.col("mixed"), F.col("k")).otherwise(F.col("id"))).drop("mixed")
+
+    texts = keyed(docs).select(F.col("key").alias("id"), "text")
+    some = keyed(signed.where("n > 0"))
+    reps = some.groupBy("digest").agg(F.min("key").alias("rep"), *(F.first(c).alias(c) for c in ("n", "tokens", "n_cool", "share")))
     index = reps.where("rep IS NOT NULL").select("rep", "n", "n_cool", F.col("share").cast("long").alias("share"), F.posexplode("tokens").alias("pos", "tok"))
     lists = index.where("pos < n_cool").select("tok", "n", "rep", F.col("pos").cast("long").alias("pos"), "share")
     lists = lists.repartition(parallelism(docs.sparkSession), "tok").sortWithinPartitions("tok", "n", "rep")
@@ -351,24 +359,74 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if len(hot):
         made = made.unionByName(hot_candidates(index.where("pos >= n_cool")))
     made = cut(made)
-    first = overlaps(picked, made.where("a <> b").select("a", "b"))
+    first = overlaps(texts, made.where("a <> b").select("a", "b"))
     edges = links(first)
     labels = components(edges)
     members = made.where("of_centre").select(F.col("a").alias("centre"), F.col("b").alias("rep")).distinct()
-    more = cut(open_groups(picked, members, labels, first, block))
+    members = members.join(some.groupBy("digest").agg(F.min("key").alias("rep"), F.first("n").alias("n")).select("rep", "n"), "rep")
+    more = cut(open_groups(texts, members, labels, first, block_bytes))
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
-    names = cut(some.groupBy("digest").agg(F.min("id").alias("rep"))).join(
+    names = cut(some.groupBy("digest").agg(F.min("key").alias("rep"))).join(
         labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    return signed.select("id", "n", "digest").join(names, "digest", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    if several:  # labels are keys then: the smallest id of each
+        names = cut(names)
+        low = some.join(names, "digest").groupBy("component").agg(F.min("id").alias("low"))
+        names = names.join(low, "component")
+    else:
+        names = names.withColumn("low", F.col("component"))
+    full = F.col("n") > 0
+    return signed.select("id", "k", "n", "digest").join(names, "digest", "left").select(
+        "id", "k", "n", F.when(full, F.col("component")).otherwise(F.col("k")).alias("g"), F.when(full, F.col("low")).otherwise(F.col("id")).alias("component"))
+
+
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    whole = F.col(id_col).try_cast("long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    assert kind in ("tinyint", "smallint", "int", "bigint"), f"ids are whole numbers, not {kind}"
+    return docs.select(whole.alias("id"), F.col(text_col).alias("text"), F.xxhash64(whole, text_col).alias("k"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """id_col, n_shingles and component_id: the smallest id that links of Jaccard similarity 0.8 and more reach.
+
+    Sets are all distinct 5-word shingles of the whole text, as 64-bit hashes: among m shingles some two share a hash
+    with a chance of m * m / 2^65, and a link changes only if that befalls the sets of one pair next to the threshold.
+    Equal sets are taken together first by 128 bits, and only one of them is joined on. Null and empty texts have no
+    shingles, link with nothing and are components of their own; a row with a null id takes its component from others or
+    has none; repeated rows share a component, and rows of one id with different texts are judged each by its text; an
+    empty table gives an empty result; other columns are not read. Ids are whole numbers.
+
+    Every pair of linked sets of different content meets in a list of their prefixes (see prefix_size). In a short list
+    (`short` sets) all pairs are compared. In a long one each set is compared with the list's centre, and those that
+    don't end up in its component are looked up among all sets of that centre: no link is lost to the size of a list.
+    """
+    found = grouped(rows_of(docs, id_col, text_col), **how)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each group: the one with the smallest id. Rows with a null id stay."""
-    gone = similar_groups(docs, id_col, text_col, **how).where(F.col("component_id") != F.col(id_col)).select(id_col)
-    return docs.join(gone.distinct(), id_col, "left_anti").select(*docs.columns)
+    """docs, all columns, with one row of each group of near duplicates: that with the smallest id.
+
+    Rows are judged one by one: of rows with one id and different texts each goes or stays by its own text, and where
+    several of a group have its smallest id, that with the smallest hash of the text stays. Rows that repeat both id and
+    text are one row, empty texts included. Null and empty texts else link with nothing and stay, and so does every row
+    with a null id. An empty table gives an empty result; columns may have any names.
+    """
+    names = docs.columns
+    id_, k = (next(c for c in (f"{x}{i}" for i in range(len(names) + 1)) if c not in names) for x in ("_id", "_k"))
+    found = cut(grouped(rows_of(docs, id_col, text_col), **how).where("id IS NOT NULL").select("id", "k", "g", "component"))
+    heads = found.where("id = component").groupBy("id", "g").agg(F.min("k").alias("least"), F.count("*").alias("rows"))
+    heads = cut(heads.where("rows > 1"))  # the group's smallest id stands in more than one row
+    other = found.join(heads, ["id", "g"]).where("id = component AND k <> least").select("id", "k")
+    gone = found.where("id <> component").select("id", "k").unionByName(other).distinct()
+    whole = F.col(id_col).cast("long")
+    keyed = docs.withColumns({id_: whole, k: F.xxhash64(whole, text_col)})
+    kept = keyed.join(gone.toDF(id_, k), [id_, k], "left_anti")
+    if heads.limit(1).count():
+        again = heads.select("id", F.col("least").alias("k")).toDF(id_, k)
+        kept = kept.join(again, [id_, k], "left_anti").unionByName(kept.join(again, [id_, k], "left_semi").dropDuplicates([id_, k]))
+    return kept.select(*names)
 
 
 def brute_force(ids: list[int], texts: list[str | None]) -> dict[int, tuple[int, int]]:
