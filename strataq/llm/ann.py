@@ -46,20 +46,25 @@ def fit(x: np.ndarray, ids: np.ndarray, lists: int, seed: int, rounds: int = 8)
     return Index(rotation, centres, r, ids, squares(r, centres).argmin(1))
 
 
-def adaptive_scan(q: np.ndarray, v: np.ndarray, bound: float, k: int, block: int, epsilon: float) -> np.ndarray:
+def adaptive_scan(q: np.ndarray, v: list[np.ndarray], bound: float, k: int, block: int, epsilon: float,
+                  first: np.ndarray | None = None) -> np.ndarray:
     """Rows of v that may be among the k nearest of q; both rotated, v stored by column blocks.
 
     After t of d dimensions a row is abandoned if its partial squared distance, scaled by d/t, is above
     bound * (1 + epsilon / sqrt(t))^2: under a random rotation, the chance that a true neighbour fails this test falls
-    exponentially in epsilon squared. The last test is exact but for rounding.
+    exponentially in epsilon squared. The last test is exact but for rounding. `first` may hold the partial distances of
+    the first block, which are made for many queries at once.
     """
     d = len(q)
     live = np.arange(len(v[0]))
     partial = np.zeros(len(live))
     for b, part in enumerate(v):
         t = min(d, (b + 1) * block)
-        diff = part[live] - q[b * block:t]
-        partial = partial + np.einsum("ij,ij->i", diff, diff)
+        if first is not None and not b:
+            partial = first
+        else:
+            diff = part[live] - q[b * block:t]
+            partial = partial + np.einsum("ij,ij->i", diff, diff)
         if t == d:
             if len(live) > k:
                 bound = min(bound, np.partition(partial, k - 1)[k - 1])
@@ -81,7 +86,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     Ties go to the smaller id; a row is no neighbour of a query with its own id. Null ids and vectors that are null,
     empty, zero, hold null or non-finite components or have not the commonest length take no part. Repeated rows are
-    candidates each; with fewer than k candidates all are returned; an empty table gives an empty result.
+    candidates each, but a query id asks once, with the smallest of its vectors; with fewer than k candidates all are
+    returned; an empty table gives an empty result. Extra columns are not read.
 
     Rotation and list centres are fitted on at most `sample_rows` vectors (smallest hash of the id), and every vector is
     indexed. A query probes its nearest lists, `least_probes` and `probe_share` of them at least, and more until they
@@ -101,7 +107,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     sizes = base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     d, n = (sizes[0]["d"], sizes[0]["n"]) if sizes else (1, 0)
     base = base.where(F.size("v") == d)
-    asked = valid(queries).where(F.size("v") == d)
+    asked = valid(queries).where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
     ids = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
     x = np.array(ids["v"].tolist(), np.float64).reshape(-1, d)
     index = spark.sparkContext.broadcast(
@@ -166,13 +172,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             q_ids, v_ids = one.column("id").to_numpy(), other.column("id").to_numpy()
             turned = vs @ index.value.rotation
             columns = [np.ascontiguousarray(turned[:, a:a + block]) for a in range(0, d, block)]
-            for q, r, me, bound in zip(qs, qs @ index.value.rotation, q_ids, one.column("bound").to_numpy()):
-                near = adaptive_scan(r, columns, bound, k + int((v_ids == me).sum()), block, epsilon)
-                near = near[v_ids[near] != me]
-                if len(near):
-                    score = np.sqrt(((vs[near] - q) ** 2).sum(1))
-                    best = np.lexsort((v_ids[near], score))[:k]
-                    out.append((np.full(len(best), me), v_ids[near[best]], score[best]))
+            bounds, turned = one.column("bound").to_numpy(), qs @ index.value.rotation
+            order = np.sort(v_ids)
+            own = np.searchsorted(order, q_ids, "right") - np.searchsorted(order, q_ids, "left")
+            for at in range(0, len(qs), 128):
+                first = squares(turned[at:at + 128, :block], columns[0])
+                for i, partial in enumerate(first, at):
+                    near = adaptive_scan(turned[i], columns, bounds[i], k + int(own[i]), block, epsilon, partial)
+                    near = near[v_ids[near] != q_ids[i]]
+                    if len(near):
+                        score = np.sqrt(((vs[near] - qs[i]) ** 2).sum(1))
+                        best = np.lexsort((v_ids[near], score))[:k]
+                        out.append((np.full(len(best), q_ids[i]), v_ids[near[best]], score[best]))
         a, b, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
