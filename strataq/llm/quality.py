@@ -119,8 +119,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """id_col, held_out, score (0 to 1) and predicted for every document, whole texts.
 
     The model is fitted on at most `max_fit_rows` labelled rows outside the held-out fold, those with the smallest hash
-    of the id, whatever the size of the table. Null texts count as empty and get a score too; null labels teach nothing;
-    a document with several labels teaches by each; without labels every score is a half. Repeated rows are kept.
+    of the id, whatever the size of the table; hashes are even, so labels beyond twice their share are left out
+    before the join, and no task sends more than is asked for in all. Null texts count as empty and get a score too;
+    null labels teach nothing; a document with several labels teaches by each, and so does each of its repeated rows,
+    which are kept; without labels every score is a half; an empty table gives an empty result. Extra columns are not read.
     The statistics of all texts are computed once and written to the shared folder, where both steps read them.
     """
     spark = docs.sparkSession
@@ -128,7 +130,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     held = lambda c: F.pmod(F.crc32(F.col(c).cast("string")), F.lit(folds)) == held_fold
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
     known = known.where(F.col("y").isNotNull() & ~held("id"))
-    rows = stats.join(known, "id").orderBy(F.xxhash64("id"), "id", "y").limit(max_fit_rows).select("x", "y").toPandas()
+    mix = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
+    share = min(1.0, 2.0 * max_fit_rows / max(1, known.count()))
+    known = known.where(mix < int(share * (1 << 32)))
+    rows = stats.join(known, "id").orderBy(mix, "id", "y").limit(max_fit_rows).select("x", "y").toPandas()
     x = np.array(rows["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     model = spark.sparkContext.broadcast(fit(x, rows["y"].to_numpy(np.float64), shrinkage))
 
