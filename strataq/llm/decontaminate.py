@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, texts_of
+from .common import column, cut, map_arrow, texts_of
 
 WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
+# Rows up to which the keys of leaks are broadcast; beyond, the same join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -90,6 +92,16 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), *span
 
 
+def medians(owner: np.ndarray, values: np.ndarray, owners: int) -> np.ndarray:
+    """The median of each owner's values, by one sort; 0 for an owner without any."""
+    order = np.lexsort((values, owner))
+    n = np.bincount(owner, minlength=owners)
+    first = np.cumsum(n) - n
+    values = np.append(values[order], 0.0)
+    low, high = (np.where(n > 0, first + k, len(values) - 1) for k in ((n - 1) // 2, n // 2))
+    return (values[low] + values[high]) / 2
+
+
 def seed_windows(items: Items, ids: np.ndarray, slack: float) -> Iterator[tuple[int, int, int, int]]:
     """(item, first word, end word, seeds) of the passages around seeds; passages of an item that touch are one."""
     codes = items.codes(ids)
@@ -160,13 +172,11 @@ def leaks_of(docs: DataFrame, index: Items, rare_times: float, rare_floor: int,
         return pa.RecordBatch.from_arrays([pa.array(gram[known]), pa.array(times[known].astype(np.int64))], ["gram", "n"])
 
     totals = map_arrow(docs.select("text"), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    times = dict(zip(totals["gram"].tolist(), totals["n"].tolist()))
-    df = np.array([times.get(g, 0) for g in index.code.tolist()], np.float64)
-    rare = np.zeros(len(df), bool)
-    for i in range(len(index.items)):
-        own = index.owner == i
-        rare[own] = df[own] <= max(rare_floor, rare_times * np.median(df[own]))
-    index.keep(rare)
+    totals = totals.sort_values("gram")
+    gram, times = np.append(totals["gram"].to_numpy(np.int64), 0), np.append(totals["n"].to_numpy(np.float64), 0.0)
+    at = np.searchsorted(gram[:-1], index.code)
+    df = np.where(gram[at] == index.code, times[at], 0.0)
+    index.keep(df <= np.maximum(rare_floor, rare_times * medians(index.owner, df, len(index.items))[index.owner]))
     seeds = context.broadcast(index)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -193,7 +203,18 @@ def leaks_of(docs: DataFrame, index: Items, rare_times: float, rare_floor: int,
     return map_arrow(docs, run, f"id {id_type}, item {item}, score double, first_word long, end_word long, n_seeds long")
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the documents that hold a test item. Rows with a null id stay."""
-    bad = find_leaks(docs, items, id_col=id_col, **how).select(F.col(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs, all columns, without the rows whose text holds a test item.
+
+    Rows are judged by their text, not by id: of rows with one id only those that hold an item go, each of several
+    repeated rows alike, and a null id is an id like any other. Null and empty texts stay; an empty table gives an empty
+    result, no items leave docs as it is, and extra columns are carried along.
+    """
+    names = set(docs.columns)
+    key = next(k for k in (f"_row{i}" for i in range(len(names) + 1)) if k not in names)
+    # Row keys are 128 bits of id and text; the texts are joined by broadcast where leaks are counted to be few.
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.concat_ws(":", F.length(name), name, F.col(text_col)))))
+    bad = cut(find_leaks(keyed, items, id_col=key, text_col=text_col, **how).select(F.col(key)).distinct())
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)
