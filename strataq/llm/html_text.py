@@ -12,18 +12,23 @@ from pyspark.sql import functions as F
 from .common import column, map_arrow, texts_of
 
 # Elements by role.
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas|audio|video|title|xmp"
-BOILER = frozenset("nav header footer aside form menu dialog button fieldset datalist map figcaption".split())
+RAW = "script|style|noscript|template|svg|iframe|textarea|select|canvas|audio|video|title|xmp"
+BOILER = frozenset("nav header footer aside form menu dialog button fieldset datalist map".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr nobr img input".split())
+    "strike strong sub sup time tt u var wbr nobr img input object math mrow mi mn mo mtext msup msub mfrac msqrt".split())
 CONTAINERS = frozenset("html body div section article main table td th center blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# A name marks boilerplate if its last word does, or one that only words for parts of a page follow: cookie-notice and
+# notice-box are notices, notice-board isn't.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notices|alert|"
+    r"(?:^|[\s_-])(?:ad|ads|adsbygoogle|advert|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notices|alert|alerts|"
     r"popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|widget|footer|site-?header|masthead|"
     r"comments?|commentlist|respond|disqus|replies|reply|related|recommend\w*|share|sharing|social|newsletter|subscribe|"
-    r"pagination|pager|toolbar|skip-?link|login|signup|search-?form)(?=$|[\s_-])", re.I)
+    r"pagination|pager|toolbar|skip-?link|login|signup|search-?form)"
+    r"(?:[_-](?:area|articles?|author|bar|block|body|bottom|box|btns?|buttons?|card|col|column|container|content|count|date|entry|feed|fixed|footer|form|"
+    r"group|header|holder|icons?|inline|inner|items?|left|links?|list|main|menu|meta|module|nav|outer|panel|posts?|primary|region|right|row|secondary|"
+    r"section|slot|sticky|stories|story|strip|text|thread|title|top|unit|widget|wrap|wrapper|\w*\d\w*))*(?=$|\s)", re.I)
 ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|menu|alert|dialog)\b", re.I)
 NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # A wrapper that says what the page has around it is not that thing.
@@ -126,12 +131,14 @@ def extract_main(page: str | None, window: int = 3, surge: int = 80, gap: int =
     whose highest sum reaches `surge` are kept, or else the run with the most text; and runs beside a kept one that its
     container holds too, as where a box stands between paragraphs. Characters inside an article or main element count
     `weight` times, and blank lines stand around it, so that runs inside and outside are judged on their own. Lines
-    outside that are mostly links count nothing.
+    outside that are mostly links (more than `links` of their characters, or half of the rest too in a line that reaches
+    `surge` by itself) count nothing.
     """
     if not page:
         return ""
     lines = lines_of(page, max(gap, window))
-    texts = ["" if x[0] and not x[1] and x[2] > links * len(x[0]) else x[0] for x in lines]
+    share = lambda n: links if n < surge else (1 + links) / 2
+    texts = ["" if x[0] and not x[1] and x[2] > share(len(x[0])) * len(x[0]) else x[0] for x in lines]
     sizes = [len(t) * (weight if x[1] else 1) for t, x in zip(texts, lines)]
     n = len(sizes)
     total, sums = 0, []
