@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from .common import column, map_arrow, release_memory, ship_package, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST_WORD = 40
-LONGEST_PIECE = LONGEST_WORD + 1  # a piece that is longer, with the mark, is in no word
+LATTICE_WORD = 40  # longer words are summed letter by letter, not in lattices
 LOT = 64  # languages scored at a time
 FIT_WORDS = 4096  # words in a lattice at a time when a language is learned
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -23,11 +22,8 @@ SCALE = 64.0  # a character's share, so that products of probabilities stay in a
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case runs of letters; a longer run is taken in parts of LONGEST_WORD letters."""
-    found = WORD.findall(text.lower())
-    if any(len(w) > LONGEST_WORD for w in found):
-        found = [w[i:i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
+    """Lower-case runs of letters, of any length."""
+    return WORD.findall(text.lower())
 
 
 def code_points(words: list[str], width: int) -> np.ndarray:
@@ -42,7 +38,7 @@ class Vocabulary:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         names = {sp.id_to_piece(i).lower().replace("▁", "^") for i in range(sp.get_piece_size())}
-        names = {p for p in names if p.lstrip("^").isalpha() and p.count("^") <= 1 and len(p) <= LONGEST_PIECE}
+        names = {p for p in names if p.lstrip("^").isalpha() and p.count("^") <= 1}
         self.pieces = sorted(names)
         self.longest = max(map(len, names), default=1)
         hashes = [self.hash(code_points([p], len(p)))[0] for p in self.pieces]
@@ -157,6 +153,39 @@ class Lattice:
         return uses[:-1]
 
 
+def long_word(vocab: Vocabulary, word: str, probs: np.ndarray, floor: float, block: int = 512) -> np.ndarray:
+    """What Lattice.forward gives for one word of any length, with a window of sums as long as the longest piece.
+
+    Pieces are looked up for `block` places at a time, and the window is scaled anew before it leaves a double's range.
+    """
+    reach, kinds = vocab.longest, probs.shape[1]
+    codes = code_points(["^" + word], len(word) + 1)[0]
+    table = np.concatenate([probs, np.zeros((1, kinds))])
+    scales = SCALE ** np.arange(1, reach + 1)[:, None]
+    sums, log = np.zeros((reach, kinds)), np.zeros(kinds)  # the last `reach` sums, the latest first
+    sums[0] = 1
+    for low in range(0, len(codes), block):
+        high = min(low + block, len(codes))
+        first = max(0, low - reach + 1)
+        ids = np.full((high - low, reach), -1, np.int32)  # of pieces by last letter and size
+        h = np.zeros(high - first, np.uint64)
+        for size in range(1, reach + 1):
+            h = vocab.step(h[:high - first - size + 1], codes[first + size - 1:high])
+            last = np.arange(first + size - 1, high) - low
+            ids[last[last >= 0], size - 1] = vocab.find(h)[last >= 0]
+        p = table[ids] * scales
+        p[:, 0] = np.maximum(p[:, 0], floor * SCALE)
+        for k, row in enumerate(p):
+            total = (sums * row).sum(0)
+            sums[1:] = sums[:-1]
+            sums[0] = total
+            if k % 16 == 15:
+                top = sums.max(0)
+                sums /= top
+                log += np.log(top)
+    return np.log(sums[0]) + log - len(codes) * np.log(SCALE)
+
+
 @dataclass
 class Model:
     """Languages in order, and of each the pieces that its texts use; any other piece has the probability `rest`."""
@@ -171,26 +200,35 @@ class Model:
     def lots(self, words: list[str], most: int = LOT):
         """Log probabilities of the words, a column for each language, `most` languages at a time."""
         vocab = vocabulary(self.path)
-        lattice = Lattice(vocab, words)
+        long = [i for i, w in enumerate(words) if len(w) > LATTICE_WORD]
+        lattice = Lattice(vocab, [w for w in words if len(w) <= LATTICE_WORD])
+        short = np.setdiff1d(np.arange(len(words)), long)
         for at in range(0, len(self.languages), most):
             own = range(at, min(at + most, len(self.languages)))
             probs = np.empty((len(vocab.pieces), len(own)))
             for k, i in enumerate(own):
                 probs[:, k] = self.rest[i]
                 probs[self.ids[i], k] = self.probs[i]
-            yield lattice.forward(probs, self.floor)
+            out = np.empty((len(words), len(own)))
+            out[short] = lattice.forward(probs, self.floor)
+            for i in long:
+                out[i] = long_word(vocab, words[i], probs, self.floor)
+            yield out
 
 
 def fit_one(texts: list[str], path: str, rounds: int = 4, prior: float = 0.05, floor: float = 1e-7):
     """Piece probabilities of one language: expectation maximisation over all segmentations of its words.
 
-    Gives the probability of pieces not in use, the pieces in use and their probabilities.
+    Gives the probability of pieces not in use, the pieces in use and their probabilities. A word of over LATTICE_WORD
+    letters is learned from in parts of that length; it is scored whole.
     """
     vocab = vocabulary(path)
     counts: dict[str, int] = {}
     for text in texts:
         for w in words_of(text):
-            counts[w] = counts.get(w, 0) + 1
+            for at in range(0, len(w), LATTICE_WORD):
+                part = w[at:at + LATTICE_WORD]
+                counts[part] = counts.get(part, 0) + 1
     size = max(1, len(vocab.pieces))
     probs, uses, total = np.full((len(vocab.pieces), 1), 1 / size), np.zeros((len(vocab.pieces), 1)), float(size)
     if counts:
@@ -244,7 +282,8 @@ def identify_language(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_
 
     Piece probabilities of every language are learned from at most `fit_rows` of its documents (those with the smallest
     hash of the id) outside the held-out fold. A text that is null or has no letter, or a table without labelled texts, gives 'und'
-    and 0; ties go to the language that sorts first; repeated rows are kept. `keep` names columns to carry along.
+    and 0; ties go to the language that sorts first; repeated rows are kept, and one that is drawn teaches by each copy; an empty table gives an
+    empty result. `keep` names columns to carry along, in any order of names; none that the result has already.
     """
     spark = docs.sparkSession
     known = sample_by_language(docs, id_col, text_col, lang_col, folds, held_fold, fit_rows)
