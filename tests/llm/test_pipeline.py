@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -45,6 +46,38 @@ def test_one_copy_of_a_large_group_keeps_its_text(spark, tmp_path):
     assert len(left) == 289 + 15 and all(r["text"] for r in left)
 
 
+ODD = [(1, "plain words of some page", "en", "s", 5, "a"), (1, "plain words of some page", "en", "s", 5, "a"), (1, "another text of this id", "en", "s", 5, "b"), (2, None, "en", "s", None, "c"),
+       (3, "", "fr", None, 0, None), (None, "no id but words", None, "s", 1, "d"), (None, "no id but words", None, "s", 1, "d"), (4, "word " * 30000, "en", "s", 2, "e"), (5, " \n ", "en", "s", 3, "f"), (6, "plain words of some page", "en", "t", 5, "g")]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_odd_rows(spark, tmp_path, k):
+    """Nulls in any column, empty and long texts, repeated rows, one id with two texts, clashing names; then no rows at all."""
+    extra = ("score", "held_out", "lang_pred", "n_lines", "n_dropped", "_rest", "_row0", "_id0", "_k0", "id", "k", "key", "row", "spans", "h", "drop", "rank", "length", "task")
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, own string").withColumns({c: F.lit("clash") for c in extra})
+    spark.createDataFrame([(0, "an item that nobody holds at all"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = corpus_pipeline.STAGES[k][1]
+    out = stage(spark, docs, str(tmp_path))
+    rows = out.collect()
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    if k == 4:
+        assert sorted((r["doc_id"] or 0) for r in rows if r["piece"] == 0) == sorted((r[0] or 0) for r in ODD)
+        return
+    assert out.columns == docs.columns and all(r[c] == "clash" for r in rows for c in extra)
+    texts = [(r["doc_id"], r["text"], r["source"], r["own"]) for r in rows]
+    given = [(r[0], r[1], r[3], r[5]) for r in ODD]
+    lone = lambda rows: sorted(map(str, rows))
+    if k == 0:
+        assert lone(texts) == lone(r for r in given if r[1] and r[1].strip()) and {r["lang"] for r in rows} <= {"en", "fr"}
+    elif k == 1:
+        assert lone(texts) == lone(given) and {r["n_chars"] for r in rows if r["text"] is None} == {None}
+    elif k == 2:
+        # ids 1 and 6 share a text; id 1 stands three times, with two texts
+        assert lone(texts) == lone([*given[1:4], *given[4:9]])
+    else:
+        assert lone(texts) == lone(given)
+
+
 def test_pipeline_on_test_data(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     fill = np.zeros(1 + max(r["sequence_id"] for r in out), np.int64)
