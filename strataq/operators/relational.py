@@ -56,6 +56,11 @@ def restrict(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
+def if_small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df, to be broadcast if it is counted to have at most `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def either_exists(df: DataFrame, key: str, others: Sequence[DataFrame]) -> DataFrame:
     """Rows with a match in any of some tables: one semi-join with the union of their keys."""
     keys = others[0].select(key)

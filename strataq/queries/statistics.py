@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats as X
+from ..operators.relational import if_small
 from .base import Tables, query
 
 WILSON = """greatest(0, (p + {z} * {z} / (2 * n)) / (1 + {z} * {z} / n) - {z} * sqrt(p * (1 - p) / n + {z} * {z} / (4 * n * n)) / (1 + {z} * {z} / n)) AS low,
@@ -71,7 +72,7 @@ SELECT a.p_brand AS a, b.p_brand AS b, a.low > b.high OR b.low > a.high AS separ
 def effect_conclusion(t: Tables):
     s = t.part.groupBy("p_brand").agg(F.min("p_retailprice").alias("low"), F.median("p_retailprice").alias("mid"), F.max("p_retailprice").alias("high"))
     a, b = (s.select(*(F.col(c).alias(f"{n}_{c}") for c in s.columns)) for n in "ab")
-    both = a.join(F.broadcast(b), F.col("a_p_brand") < F.col("b_p_brand"))
+    both = a.join(if_small(b), F.col("a_p_brand") < F.col("b_p_brand"))
     return both.select(F.col("a_p_brand").alias("a"), F.col("b_p_brand").alias("b"), X.separated(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high")).alias("separated"),
                        F.round(F.col("a_mid") - F.col("b_mid"), 6).alias("difference"), F.round(F.col("a_mid") / F.col("b_mid"), 9).alias("ratio"))
 
