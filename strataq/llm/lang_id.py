@@ -216,19 +216,24 @@ class Model:
             yield out
 
 
-def fit_one(texts: list[str], path: str, rounds: int = 4, prior: float = 0.05, floor: float = 1e-7):
-    """Piece probabilities of one language: expectation maximisation over all segmentations of its words.
-
-    Gives the probability of pieces not in use, the pieces in use and their probabilities. A word of over LATTICE_WORD
-    letters is learned from in parts of that length; it is scored whole.
-    """
-    vocab = vocabulary(path)
+def count_words(texts: list[str]) -> dict[str, int]:
+    """How often each word stands in some texts; one of over LATTICE_WORD letters in parts of that length."""
     counts: dict[str, int] = {}
     for text in texts:
         for w in words_of(text):
             for at in range(0, len(w), LATTICE_WORD):
                 part = w[at:at + LATTICE_WORD]
                 counts[part] = counts.get(part, 0) + 1
+    return counts
+
+
+def fit_one(counts: dict[str, int], path: str, rounds: int = 4, prior: float = 0.05, floor: float = 1e-7):
+    """Piece probabilities of one language: expectation maximisation over all segmentations of its words.
+
+    Gives the probability of pieces not in use, the pieces in use and their probabilities. A word of over LATTICE_WORD
+    letters is learned from in parts of that length; it is scored whole.
+    """
+    vocab = vocabulary(path)
     size = max(1, len(vocab.pieces))
     probs, uses, total = np.full((len(vocab.pieces), 1), 1 / size), np.zeros((len(vocab.pieces), 1)), float(size)
     if counts:
@@ -244,18 +249,33 @@ def fit_one(texts: list[str], path: str, rounds: int = 4, prior: float = 0.05, f
 
 
 def fit(sample: DataFrame, path: str) -> Model:
-    """A model of every language in the sample (text, lang): each is learned by itself, in a task's memory."""
+    """A model of every language in the sample (text, lang): each is learned by itself, in a task's memory.
+
+    Words are counted where the texts are, with partial sums; a language's task gets its different words and their counts.
+    A language without any word has one row of an empty word.
+    """
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[tuple[str, str, int]] = []
+        langs, texts = column(batch, "lang").to_pylist(), texts_of(batch)
+        for lang in sorted(set(langs)):
+            counts = count_words([t for t, of in zip(texts, langs) if of == lang])
+            rows += [(lang, w, n) for w, n in counts.items()] + [(lang, "", 0)]
+        lang, word, n = zip(*rows) if rows else ((),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
     def learn(table: pa.Table) -> pa.Table:
         try:
-            rest, ids, probs = fit_one(table["text"].to_pylist(), path)
+            counts = dict(sorted((w, n) for w, n in zip(table["word"].to_pylist(), table["n"].to_pylist()) if w))
+            rest, ids, probs = fit_one(counts, path)
         finally:
             release_memory()
         return pa.table({"lang": table["lang"].cast(pa.string())[:1], "rest": pa.array([rest], pa.float64()),
                          "ids": pa.array([ids.tobytes()], pa.binary()), "probs": pa.array([probs.tobytes()], pa.binary())})
 
     ship_package(sample.sparkSession)
-    found = sample.select("text", "lang").groupBy("lang").applyInArrow(learn, "lang string, rest double, ids binary, probs binary")
+    counted = map_arrow(sample.select("text", "lang"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = counted.groupBy("lang").applyInArrow(learn, "lang string, rest double, ids binary, probs binary")
     rows = sorted(found.collect(), key=lambda r: r["lang"])
     return Model([r["lang"] for r in rows], [r["rest"] for r in rows], [np.frombuffer(r["ids"], np.int32) for r in rows],
                  [np.frombuffer(r["probs"], np.float64) for r in rows], path)
