@@ -10,11 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, map_arrow, parallelism, ship_package, trimmed
+from .common import column, cut, cuts_so_far, drop_cuts, map_arrow, parallelism, ship_package, trimmed
 from .shingles import shingle_sets
 
 # Rows up to which a table of fixed-width rows is broadcast; beyond, the same join shuffles.
 BROADCAST_ROWS = 1_000_000
+# Sets of an index list beyond which no task takes it whole.
+LONG_LIST = 4096
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -37,8 +39,9 @@ def sign(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def frequent(docs: DataFrame, sample_one_in: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that `least` of the sampled documents hold, and the hot ones among them: sorted, `most` at most.
+def frequent(docs: DataFrame, sample_one_in: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Shingles that `least` of the sampled documents hold, and the hot ones among them: sorted, `most` at most; and
+    whether hot ones may be missing for that bound.
 
     They go last in the order of elements. Any order gives the same links; this one keeps passages that many documents
     share out of the prefixes. So neither the sample nor the bound loses anything.
@@ -61,7 +64,7 @@ def frequent(docs: DataFrame, sample_one_in: int, least: int, most: int) -> tupl
     got = counts.where(F.col("n") >= floor).toArrow() if floor <= 1_000_000 else counts.limit(0).toArrow()
     gram = got.column("gram").to_numpy().view(np.uint64)
     n = got.column("n").to_numpy()
-    return np.sort(gram), np.sort(gram[n * sample_one_in > 4096])
+    return np.sort(gram), np.sort(gram[n * sample_one_in > LONG_LIST]), floor * sample_one_in > LONG_LIST
 
 
 def signatures(docs: DataFrame, heavy: np.ndarray, hot: np.ndarray) -> DataFrame:
@@ -230,6 +233,7 @@ def links(found: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) with the smallest node of each component: minimum labels, halving paths in every round."""
+    spark = edges.sparkSession
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     small = both.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
@@ -243,6 +247,8 @@ def components(edges: DataFrame) -> DataFrame:
             "node", F.least("low", "further").alias("label"), "old"))
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
+        done = cuts_so_far(spark)
+        drop_cuts(spark, done - 2, done - 1)  # the labels of the round before: nothing reads them any more
         if not changed:
             return labels
 
@@ -337,7 +343,7 @@ def group_links(sets: list[np.ndarray], rep: np.ndarray, label: np.ndarray, shar
 def grouped(docs: DataFrame, sample_one_in: int = 4, least: int = 3, most_frequent: int = 1_000_000, short: int = 32,
             block_bytes: int = 2_000_000) -> DataFrame:
     """id, k, n, g (a name of the group) and component of docs' rows (id, text, k = a hash of both); see similar_groups."""
-    heavy, hot = frequent(docs, sample_one_in, least, most_frequent)
+    heavy, hot, unsure = frequent(docs, sample_one_in, least, most_frequent)
     signed = cut(signatures(docs, heavy, hot))
     # Sets are known by their id, or by k where rows of one id have different sets.
     mixed = signed.where("id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
@@ -354,10 +360,17 @@ def grouped(docs: DataFrame, sample_one_in: int = 4, least: int = 3, most_freque
     reps = some.groupBy("digest").agg(F.min("key").alias("rep"), *(F.first(c).alias(c) for c in ("n", "tokens", "n_cool", "share")))
     index = reps.where("rep IS NOT NULL").select("rep", "n", "n_cool", F.col("share").cast("long").alias("share"), F.posexplode("tokens").alias("pos", "tok"))
     lists = index.where("pos < n_cool").select("tok", "n", "rep", F.col("pos").cast("long").alias("pos"), "share")
+    hot_rows = index.where("pos >= n_cool").select("tok", "rep", "share") if len(hot) else None
+    if unsure:  # more hot shingles than are known to all: lists are counted, and the long ones go the same way
+        long = cut(lists.groupBy("tok").agg(F.count("*").alias("rows")).where(F.col("rows") > LONG_LIST).select("tok"))
+        few = long.count() <= BROADCAST_ROWS
+        moved = lists.join(F.broadcast(long) if few else long, "tok").select("tok", "rep", "share")
+        lists = lists.join(F.broadcast(long) if few else long, "tok", "left_anti")
+        hot_rows = moved if hot_rows is None else hot_rows.unionByName(moved)
     lists = lists.repartition(parallelism(docs.sparkSession), "tok").sortWithinPartitions("tok", "n", "rep")
     made = candidates(lists, short)
-    if len(hot):
-        made = made.unionByName(hot_candidates(index.where("pos >= n_cool")))
+    if hot_rows is not None:
+        made = made.unionByName(hot_candidates(hot_rows))
     made = cut(made)
     first = overlaps(texts, made.where("a <> b").select("a", "b"))
     edges = links(first)
