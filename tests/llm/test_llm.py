@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from strataq.llm import ann, decontaminate, html_text, jaccard, lang_id, line_dedup, packing, quality, secrets, suffix_dedup
+from strataq.llm import ann, common, decontaminate, html_text, jaccard, lang_id, line_dedup, packing, quality, secrets, suffix_dedup
 from strataq.llm.shingles import shingle_sets
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -531,7 +531,8 @@ def test_keep_one_judges_rows(spark):
 def test_hot_lists_have_an_exact_way(spark):
     texts = [" ".join([f"x{i}" for i in range(60)] + [f"y{k}z{j}" for j in range(k % 7)]) for k in range(60)]
     df = jaccard.rows_of(docs_of(spark, texts), "doc_id", "text")
-    heavy, _ = jaccard.frequent(df, 1, 3, 1000)
+    heavy, _, unsure = jaccard.frequent(df, 1, 3, 1000)
+    assert not unsure
     index = jaccard.signatures(df, heavy, heavy)
     assert index.where("n_cool < size(tokens)").count() > 0
     rows = index.select(F.col("id").alias("rep"), "n", F.col("share").cast("long").alias("share"), F.posexplode("tokens").alias("pos", "tok"))
@@ -539,6 +540,39 @@ def test_hot_lists_have_an_exact_way(spark):
     assert len({a for a, _ in pairs}) < 60 and {b for _, b in pairs} == set(range(60))
 
 
+def test_long_lists_that_are_not_known_as_hot(spark, monkeypatch):
+    """More hot shingles than the bound lets every task know: their lists are found by counting, and links stay the same."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", 8)
+    rng = random.Random(24)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for k in range(40):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = f"e{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    docs = docs_of(spark, texts)
+    assert jaccard.frequent(jaccard.rows_of(docs, "doc_id", "text"), 1, 3, 3)[2]
+    before = common.cuts_so_far(spark)
+    out = jaccard.similar_groups(docs, short=4, sample_one_in=1, most_frequent=3).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == jaccard.brute_force(list(range(40)), texts)
+    assert common.drop_cuts(spark, before) > 0 and common.cuts_so_far(spark) == before
+
+
+def test_no_shared_folder_outside_local_mode(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://somewhere", "x"
+        _jsc = spark.sparkContext._jsc
+        getConf = spark.sparkContext.getConf
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(RuntimeError):
+            common.shared_dir(Session())
+
+
 def test_prefix_bound_is_exact():
     for n in range(1, 60):
         for m in range(n, 60):
