@@ -56,6 +56,24 @@ def fault_boundaries(faults: DataFrame, boundaries: dict[str, DataFrame], key: s
     return all_of(named(faults.where(~F.col("boundary").isin(known)), "unknown boundary", key), *found)
 
 
+# What a trace may hold at a fault's boundary: name -> view and condition.
+BOUNDARIES = {
+    "created event": ("outbox", "event_type = 'workflow.created'"), "dispatch event": ("outbox", "event_type IN ('attempt.dispatch', 'attempt.redispatch')"),
+    "published event": ("outbox", "publish_state = 'PUBLISHED'"), "pending event": ("outbox", "publish_state = 'PENDING'"),
+    "quarantined event": ("outbox", "publish_state = 'QUARANTINED'"), "claimed attempt": ("attempts", "state = 'CLAIMED'"),
+    "timed out attempt": ("attempts", "state = 'TIMED_OUT'"), "succeeded attempt": ("attempts", "state = 'SUCCEEDED'"),
+    "current attempt": ("attempts", "is_current"), "recorded result": ("attempts", "result_recorded"),
+    "replacement attempt": ("attempts", "attempt_number > 1"), "consumed result": ("history", "reason = 'RESULT_CONSUMED'"),
+    "scheduler transition": ("history", "actor_kind = 'scheduler'"), "terminal state": ("history", "new_state IN ('SUCCEEDED', 'FAILED', 'REJECTED', 'CANCELED', 'ABANDONED')"),
+    "open item": ("reconciliation", "status = 'OPEN'"), "consumed wakeup": ("wakeups", "state = 'CONSUMED'"),
+}
+
+
+def boundary_rows(trace: dict[str, DataFrame], names: Sequence[str] = tuple(BOUNDARIES)) -> DataFrame:
+    """(boundary, workflow_id) of the workflows that have what a boundary asks for: the right side of a semi or anti join."""
+    return all_of(*(trace[BOUNDARIES[n][0]].where(BOUNDARIES[n][1]).select(F.lit(n).alias("boundary"), "workflow_id").distinct() for n in names))
+
+
 def ingress_and_sink(ingress: DataFrame, calls: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Requests seen at the door and calls exported by the sink: none on one side alone, and equal columns on both."""
     a, b = ingress.alias("a"), calls.alias("b")

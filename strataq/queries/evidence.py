@@ -23,12 +23,24 @@ def synthetic_queries(t: Tables):
     return synthetic.labelled_queries(t.spark)
 
 
-@query("A60 A61", """SELECT ['checkout', 'search', 'billing', 'gateway', 'ledger'][i // 6 + 1] || '-' || (i % 6)::VARCHAR AS case_id, CASE WHEN i % 6 < 4 THEN 'development' ELSE 'held_out' END AS split FROM range(30) AS r(i)""")
+NAMES = "['checkout', 'search', 'billing', 'gateway', 'ledger']"
+
+
+@query("A60", f"""WITH c AS (SELECT {NAMES}[i // 6 + 1] AS family, i % 6 AS index, CASE WHEN i % 6 < 2 THEN 'development' ELSE 'heldout' END AS split FROM range(30) AS r(i))
+SELECT substr(split, 1, 3) || '-' || substr(family, 1, 4) || '-0' || (index + 1)::VARCHAR AS case_id, family, index, split FROM c""")
 def synthetic_cases(t: Tables):
     return synthetic.incident_cases(t.spark)
 
 
-@query("A62")
+@query("A61", f"""WITH d AS (SELECT i, sha256('56:' || i::VARCHAR) AS h FROM range(160) AS r(i)), n AS (SELECT i, CAST('0x' || substr(h, 1, 4) AS BIGINT) % 5 AS a, CAST('0x' || substr(h, 5, 4) AS BIGINT) % 3 AS b, CAST('0x' || substr(h, 9, 4) AS BIGINT) % 4 + 1 AS v FROM d)
+SELECT format('case-{{:03d}}', i) AS case_id, CASE WHEN i < 40 THEN 'development' ELSE 'heldout' END AS split, {NAMES}[a + 1] || '/v' || v || '/' || ['latency', 'errors', 'saturation'][b + 1] AS answer_key,
+{NAMES}[a + 1] || '/v' || (v % 4 + 1) || '/' || ['latency', 'errors', 'saturation'][b + 1] AS distractor_key FROM n""")
+def solvable_cases(t: Tables):
+    return synthetic.solvable_cases(t.spark)
+
+
+@query("A62", """WITH d AS (SELECT i, sha256(i::VARCHAR) AS h FROM range(100) AS r(i)), n AS (SELECT i AS seed, CAST('0x' || substr(h, 1, 4) AS BIGINT) % 100 AS n0, CAST('0x' || substr(h, 5, 4) AS BIGINT) % 100 AS n1, CAST('0x' || substr(h, 9, 4) AS BIGINT) % 100 AS n2,
+CAST('0x' || substr(h, 13, 4) AS BIGINT) % 100 AS n3 FROM d) SELECT *, n0 + n1 + n2 + n3 AS total FROM n""")
 def synthetic_workflows(t: Tables):
     return synthetic.seeded_workflow(t.spark, 100)
 

@@ -108,9 +108,14 @@ def threshold_candidates(t: Tables):
     return c.agg(F.count("*").alias("candidates"), F.max("threshold").alias("h")).join(F.broadcast(top)).select("candidates", (F.col("h") > F.col("m")).alias("above"))
 
 
-@query("M24")
+DIGEST = "sha256(to_json({'doc_id': doc_id, 'digest': sha256(coalesce(text, ''))})::VARCHAR)"
+
+
+@query("M24", "SELECT count(*) AS rows, count(DISTINCT doc_id) AS keys, " + ", ".join(
+    f"CAST(sum(CAST('0x' || substr({DIGEST}, {1 + 8 * i}, 8) AS BIGINT)) AS BIGINT) AS digest_{i}" for i in range(4)) + " FROM documents")
 def corpus_manifest(t: Tables):
-    return R.manifest(t.documents, "doc_id", "text")
+    rows = t.documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    return R.manifest(rows, "doc_id", "digest")
 
 
 @query("M30", """SELECT item_id, count(*) AS n FROM benchmark GROUP BY 1 HAVING count(DISTINCT text) > 1""")

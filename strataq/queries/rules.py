@@ -76,6 +76,17 @@ def invariants_transport(t: Tables):
     return counted(I.check(trace(t), ["transport"]))
 
 
+@query("K28", """WITH v AS (SELECT 'created event' AS boundary, user_id AS w FROM events WHERE event_type <> 'error' UNION SELECT 'dispatch event', user_id FROM events WHERE event_type = 'error' UNION SELECT 'published event', user_id FROM events WHERE event_type <> 'click'
+UNION SELECT 'quarantined event', user_id FROM events WHERE event_type = 'click' UNION SELECT 'claimed attempt', l_orderkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT 'timed out attempt', l_orderkey FROM lineitem WHERE l_returnflag = 'A'
+UNION SELECT 'succeeded attempt', l_orderkey FROM lineitem WHERE l_returnflag = 'N' UNION SELECT 'current attempt', l_orderkey FROM lineitem WHERE l_linestatus = 'O' UNION SELECT 'recorded result', l_orderkey FROM lineitem WHERE l_discount > 0.05
+UNION SELECT 'replacement attempt', l_orderkey FROM lineitem WHERE l_linenumber > 1 UNION SELECT 'consumed result', o_custkey FROM orders UNION SELECT 'scheduler transition', o_custkey FROM orders WHERE o_orderpriority <> '1-URGENT'
+UNION SELECT 'terminal state', o_custkey FROM orders WHERE o_orderstatus = 'F') SELECT boundary, count(*) AS workflows FROM v GROUP BY 1""")
+def boundary_predicates(t: Tables):
+    from ..operators.evidence import boundary_rows
+
+    return boundary_rows(trace(t)).groupBy("boundary").agg(F.count("*").alias("workflows"))
+
+
 @query("K06", """SELECT kind, CASE WHEN kind IN ('attempt.dispatch', 'attempt.redispatch') THEN 'durable-agent.tasks.v1' WHEN kind <> 'unheard.of' THEN 'durable-agent.events.v1' END AS topic FROM (VALUES ('workflow.created'), ('attempt.dispatch'),
 ('attempt.redispatch'), ('activity.result'), ('workflow.result_consumed'), ('graph.advanced'), ('timer.scheduled'), ('workflow.canceled'), ('approval.requested'), ('approval.decided'), ('approval.granted'), ('approval.rejected'), ('cancellation.requested'),
 ('effect.applied'), ('reconciliation.required'), ('reconciliation.resolved'), ('unheard.of')) v(kind)""")

@@ -31,7 +31,7 @@ def json_equality(t: Tables):
     return t.events.join(b, "event_id").select("event_id", H.json_equal(F.col("props"), F.col("other")).alias("equal"))
 
 
-@query("H08 H09 M24 G09", "SELECT doc_id, sha256(text) AS digest FROM documents")
+@query("H08 H09 G09", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def content_hash(t: Tables):
     return t.documents.select("doc_id", H.content_digest(F.col("text")).alias("digest"))
 
@@ -76,7 +76,14 @@ def redaction(t: Tables):
     return t.documents.select("doc_id", T.redaction_counts(F.col("text"))["email"].cast("long").alias("email")).where("email > 0")
 
 
-@query("H18 H19 A42")
+REDACTED = "text"
+for _pattern, _mark in ((r"\b(?:sk|pk|token|secret)_[A-Za-z0-9_-]{8,}\b", "[REDACTED:SECRET]"), (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED:EMAIL]"),
+                        (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[REDACTED:IP]"), (r"\bCANARY_(?:SECRET|PII)_[A-Z0-9_-]+\b", "[REDACTED:CANARY]")):
+    REDACTED = f"regexp_replace({REDACTED}, '{_pattern}', '{_mark}', 'g')"
+
+
+@query("H18 H19", f"""WITH r AS (SELECT doc_id, {REDACTED} AS text FROM documents) SELECT doc_id, text, concat_ws(',', CASE WHEN contains(text, '[REDACTED:SECRET]') THEN 'secret' END, CASE WHEN contains(text, '[REDACTED:EMAIL]') THEN 'email' END,
+CASE WHEN contains(text, '[REDACTED:IP]') THEN 'ip' END, CASE WHEN contains(text, '[REDACTED:CANARY]') THEN 'canary' END) AS leaks FROM r""")
 def redacted_text(t: Tables):
     return t.documents.select("doc_id", T.redacted(F.col("text")).alias("text"), F.array_join(T.leak_categories(F.col("text")), ",").alias("leaks"))
 

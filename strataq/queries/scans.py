@@ -11,11 +11,36 @@ from ..sources import sinks
 from .base import Tables, query
 
 
-@query("A01 A49 A50 A48", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey = 42")
+@query("A01", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey = 42")
 def point_lookup(t: Tables):
     return R.lookup(t.customer, c_custkey=42).select("c_custkey", "c_name", "c_mktsegment")
 
 
+@query("A48", "SELECT event_id AS next_offset, user_id AS part FROM events WHERE event_id = 99")
+def offset_lookup(t: Tables):
+    return R.lookup(t.events, event_id=99).select(F.col("event_id").alias("next_offset"), F.col("user_id").alias("part"))
+
+
+@query("A49", "SELECT o_orderkey AS intent, o_orderstatus AS decision, o_totalprice AS amount FROM orders WHERE o_orderkey = 33")
+def intent_lookup(t: Tables):
+    return R.lookup(t.orders, o_orderkey=33).select(F.col("o_orderkey").alias("intent"), F.col("o_orderstatus").alias("decision"), F.col("o_totalprice").alias("amount"))
+
+
+@query("A50", "SELECT l_orderkey, l_linenumber, l_returnflag AS outcome FROM lineitem WHERE l_orderkey = 5 AND l_partkey % 2 = 1")
+def effect_lookup(t: Tables):
+    return R.lookup(t.lineitem, l_orderkey=5).where("l_partkey % 2 = 1").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("outcome"))
+
+
+@query("A05 A16", "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3 ORDER BY turn")
+def ordered_turns(t: Tables):
+    return R.lookup(t.conversations, conv_id=3).orderBy("turn").select("conv_id", "turn", "role")
+
+
+@query("A17 A18", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_custkey = 8 AND o_orderstatus <> 'P' ORDER BY o_orderdate, o_orderkey")
+def approval_scan(t: Tables):
+    return R.lookup(t.orders, o_custkey=8).where("o_orderstatus <> 'P'").orderBy("o_orderdate", "o_orderkey").select("o_orderkey", "o_orderpriority", "o_totalprice")
+
+
 @query("A02", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey = 7 AND l_linenumber = 2")
 def composite_lookup(t: Tables):
     return R.lookup(t.lineitem, l_orderkey=7, l_linenumber=2).select("l_orderkey", "l_linenumber", "l_partkey")
@@ -26,7 +51,7 @@ def json_props(t: Tables):
     return t.events.where("event_type = 'error'").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("A04 A05 A16 A17 A18", "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey = 100")
+@query("A04", "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey = 100")
 def child_scan(t: Tables):
     return R.lookup(t.lineitem, l_orderkey=100).select("l_orderkey", "l_linenumber", "l_suppkey").orderBy("l_linenumber", "l_suppkey")
 

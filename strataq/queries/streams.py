@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import replay
-from ..operators import sequence as S
 from ..streaming import ops
 from .base import Tables, query
 

@@ -32,12 +32,26 @@ def labelled_queries(spark: SparkSession, development: int = 40, held_out: int =
         F.concat_ws(" ", pick(SERVICES, i), pick(SIGNALS, i)).alias("query"), (i % answerable_share != 0).alias("answerable"))
 
 
-def incident_cases(spark: SparkSession, families: int = 5, cases: int = 6) -> DataFrame:
-    """Families of cases; the last third of each family is held out."""
+def incident_cases(spark: SparkSession, families: int = 5, cases: int = 6, development: int = 2) -> DataFrame:
+    """Families of cases: the first of each family are for development, the others held out, as the id says."""
     k = F.col("id") % cases
+    family = pick(SERVICES, F.floor(F.col("id") / cases))
+    split = F.when(k < development, "development").otherwise("heldout")
     return spark.range(families * cases).select(
-        F.concat_ws("-", pick(SERVICES, F.floor(F.col("id") / cases)), k.cast("string")).alias("case_id"),
-        F.when(k * 3 < cases * 2, "development").otherwise("held_out").alias("split"))
+        F.format_string("%s-%s-%02d", F.substring(split, 1, 3), F.substring(family, 1, 4), k + 1).alias("case_id"),
+        family.alias("family"), k.alias("index"), split.alias("split"))
+
+
+def solvable_cases(spark: SparkSession, development: int = 40, held_out: int = 120, seed: int = 56) -> DataFrame:
+    """Cases with one right answer, drawn by digests of the seed: a service, a signal and a version, the directive that
+    answers them, and a distractor of another version."""
+    i = F.col("id")
+    draw = lambda n: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), i), 256), 1 + 4 * n, 4), 16, 10).cast("long")
+    service, signal, version = pick(SERVICES, draw(0)), pick(SIGNALS, draw(1)), draw(2) % 4 + 1
+    return spark.range(development + held_out).select(
+        F.format_string("case-%03d", i).alias("case_id"), F.when(i < development, "development").otherwise("heldout").alias("split"),
+        F.concat_ws("/", service, F.concat(F.lit("v"), version.cast("string")), signal).alias("answer_key"),
+        F.concat_ws("/", service, F.concat(F.lit("v"), (version % 4 + 1).cast("string")), signal).alias("distractor_key"))
 
 
 def seeded_workflow(spark: SparkSession, seeds: int) -> DataFrame:
