@@ -61,12 +61,12 @@ def per_query(t: Tables):
     return R.measures(q, R.dense_search(q, c, "vec_id", "embedding", exclude_self=True), rel, "vec_id")
 
 
-@query("M10 M11 M12 M13", MEASURES + """ SELECT query_id, relevant, found, first_rank, found > 0 AS hit, round(found / relevant::DOUBLE, 9) AS recall, round(coalesce(1.0::DOUBLE / first_rank, 0), 9) AS rr FROM p""")
+@query("M10 M11 M12", MEASURES + """ SELECT query_id, relevant, found, first_rank, found > 0 AS hit, round(found / relevant::DOUBLE, 9) AS recall, round(coalesce(1.0::DOUBLE / first_rank, 0), 9) AS rr FROM p""")
 def retrieval_measures(t: Tables):
     return per_query(t).select("query_id", "relevant", "found", F.col("first_rank").cast("long").alias("first_rank"), "hit", F.round("recall", 9).alias("recall"), F.round("rr", 9).alias("rr"))
 
 
-@query("M26 M28 M29", MEASURES + """ SELECT query_id % 80 = 0 AS development, count(*) AS queries, count(*) FILTER (WHERE relevant > 0) AS answerable, round(count(*) FILTER (WHERE found > 0) / count(*)::DOUBLE, 6) AS hit_rate,
+@query("M13 M28 M29", MEASURES + """ SELECT query_id % 80 = 0 AS development, count(*) AS queries, count(*) FILTER (WHERE relevant > 0) AS answerable, round(count(*) FILTER (WHERE found > 0) / count(*)::DOUBLE, 6) AS hit_rate,
 round(avg(found / relevant::DOUBLE), 6) AS recall, round(avg(found / relevant::DOUBLE), 6) AS recall_all, round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 6) AS mrr FROM p GROUP BY 1""")
 def split_scores(t: Tables):
     return R.summary(per_query(t).withColumn("development", F.col("query_id") % 80 == 0), ["development"])

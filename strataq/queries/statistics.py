@@ -18,7 +18,7 @@ def nearest_rank(t: Tables):
     return t.lineitem.groupBy("l_returnflag").agg(*(X.nearest_rank("l_extendedprice", p).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))))
 
 
-@query("L02 L03 L04 L05", """SELECT o_orderpriority, round(median(o_totalprice), 6) AS mid, quantile_disc(o_totalprice, 0.5) AS low, list_sort(list(o_totalprice))[CAST(count(*) // 2 AS BIGINT) + 1] AS high FROM orders GROUP BY 1""")
+@query("L02 L03 L04", """SELECT o_orderpriority, round(median(o_totalprice), 6) AS mid, quantile_disc(o_totalprice, 0.5) AS low, list_sort(list(o_totalprice))[CAST(count(*) // 2 AS BIGINT) + 1] AS high FROM orders GROUP BY 1""")
 def medians4(t: Tables):
     return t.orders.groupBy("o_orderpriority").agg(F.round(X.median_interpolated("o_totalprice"), 6).alias("mid"), X.median_low("o_totalprice").alias("low"), X.median_high("o_totalprice").alias("high"))
 
