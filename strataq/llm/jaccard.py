@@ -53,7 +53,7 @@ def frequent(docs: DataFrame, sample_one_in: int, least: int, most: int) -> tupl
         return pa.RecordBatch.from_arrays([pa.array(sign(gram)), pa.array(n.astype(np.int32))], ["gram", "n"])
 
     sample = docs.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(sample_one_in)) == 0).select("text")
-    counts = cut(map_arrow(sample, run, "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    counts = cut(map_arrow(sample, run, "gram long, n int", rows=256).groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     sizes = counts.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("many")).orderBy(F.desc("n"))
     total, floor = 0, 1_000_001
     for r in sizes.toLocalIterator():
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, heavy: np.ndarray, hot: np.ndarray) -> DataFrame
             [column(batch, "id"), column(batch, "k"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists,
              pa.array(cool, pa.int32()), pa.array(share, pa.int32())], ["id", "k", "n", "digest", "tokens", "n_cool", "share"])
 
-    return map_arrow(docs, run, "id long, k long, n long, digest binary, tokens array<long>, n_cool int, share int")
+    return map_arrow(docs, run, "id long, k long, n long, digest binary, tokens array<long>, n_cool int, share int", rows=256)
 
 
 def list_pairs(tok: np.ndarray, n: np.ndarray, rep: np.ndarray, pos: np.ndarray, share: np.ndarray, short: int):

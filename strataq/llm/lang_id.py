@@ -333,6 +333,6 @@ def identify_language(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_
     rest = [c for c in keep if c not in (id_col, "held_out", "lang_pred", "score")]
     picked = docs.select(F.col(id_col), *rest, F.col(text_col).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "_text")
-    out = map_arrow(picked, run, f"{fields}, lang_pred string, score double", rows=1024)
+    out = map_arrow(picked, run, f"{fields}, lang_pred string, score double", rows=512)
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
     return out.select(id_col, F.coalesce(fold == held_fold, F.lit(False)).alias("held_out"), "lang_pred", "score", *rest)
