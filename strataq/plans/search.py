@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions.hashing import fingerprint
 from ..operators import retrieval as R
 
@@ -27,8 +26,7 @@ class Settings:
 def rankings(queries: DataFrame, documents: DataFrame, item: str, s: Settings = Settings()) -> dict[str, DataFrame]:
     """Top-k of every arm. queries: query_id, query; documents: item, text."""
     keyword = R.keyword_search(queries, documents, item, s.top_k)
-    dense = R.dense_search(T.hashed_vectors(queries, "query_id", "query", "v", s.dimension),
-                           T.hashed_vectors(documents, item, "text", "v", s.dimension), item, "v", s.top_k)
+    dense = R.hashed_search(queries, documents, item, s.top_k, s.dimension)
     return {"keyword": keyword, "dense": dense, "hybrid": R.fuse([keyword, dense], item, s.top_k, s.constant)}
 
 

@@ -17,7 +17,8 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, q.label AS wanted, round(l
 
 
 def texts(t: Tables):
-    clean = F.regexp_replace(F.lower("text"), "[^ -~]", " ")
+    # DuckDB's lower-case I with a dot is i alone; here it would be i and a combining dot, which splits a word.
+    clean = F.regexp_replace(F.lower(F.replace("text", F.lit("\u0130"), F.lit("i"))), "[^ -~]", " ")
     return (t.benchmark.select(F.col("item_id").alias("query_id"), clean.alias("query")),
             t.documents.select("doc_id", clean.alias("text")))
 
