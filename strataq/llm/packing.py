@@ -27,7 +27,9 @@ BROADCAST_ROWS = 1_000_000
 # Texts of these characters alone are lower-cased whole, and a mark that ends a word of letters is cut off there.
 PLAIN_TEXT = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xffĀ-įı-ž]*")
 END_MARK = re.compile(r"([.,!?;:])(?<=[a-zà-öø-ÿā-ž][.,!?;:])(?=[\t-\r ]|\Z)")
-WORDS_KEPT = 600_000
+# A worker keeps its tokenizer for as long as it lives, through the stages of a pipeline too; beyond so many words it forgets all
+# but those of the slice at hand, in which the frequent ones are.
+WORDS_KEPT = 150_000
 
 
 class WordTokenizer:
@@ -174,9 +176,10 @@ class WordTokenizer:
                 words.append(regex.split(r"[^\S\x1c-\x1f]+", t.strip(" \t\n\v\f\r")))
             else:
                 words.append(t.split())
+        here = set().union(*words)
         if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        new = set().union(*words).difference(self.known) if words else set()
+            self.known = {w: self.known[w] for w in here if w in self.known}
+        new = here.difference(self.known)
         new.discard("")
         collecting = gc.isenabled()
         gc.disable()  # nothing below makes cycles, and the walk over all kept words is slow
@@ -212,7 +215,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, t
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = picked.schema["id"].dataType.simpleString()
-    return map_arrow(picked, run, f"id {key}, piece int, start bigint, length bigint, ids_crc32 bigint", rows=1024)
+    return map_arrow(picked, run, f"id {key}, piece int, start bigint, length bigint, ids_crc32 bigint", rows=512)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:

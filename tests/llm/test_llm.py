@@ -684,3 +684,16 @@ def test_bulk_merges_equal_the_library():
     words = ["".join(rng.choice("etaoinshrdluüéßABC.,!'42#") for _ in range(rng.randrange(1, 45))) for _ in range(3000)]
     texts = [" ".join(words[i:i + 100]) for i in range(0, 3000, 100)]
     assert [np.frombuffer(b, "<u4").tolist() for b in tok.encode(texts)] == [e.ids for e in tok.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_forgets_words_but_those_at_hand(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_KEPT", 50)
+    small, whole = packing.WordTokenizer(WORDS), packing.WordTokenizer(WORDS)
+    for at in range(6):
+        texts = [" ".join(["Common", "words,"] + [f"q{chr(97 + at)}{chr(97 + i)}x" for i in range(26)]) for _ in range(3)]
+        assert small.encode(texts) == [whole.by_library(t) for t in texts]
+        assert len(small.known) <= 50 + 2 * 30 and "common" in small.known
+    kept = small.known["common"]
+    small.encode(["Common words, " + " ".join(f"z{i}k" for i in range(60))])
+    small.encode(["Common"])
+    assert small.known["common"] is kept  # a frequent word isn't learned anew
